@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality
+from . import bpe, exact, packing, quality
 from .common import documents
 
 
+def vocabulary() -> str:
+    """Where the public word-level vocabulary lies; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": lambda spark, d: packing.op1_best_fit_packing(documents(spark, d), vocabulary()),
+        "op2_bpe": lambda spark, d: bpe.op2_bpe(documents(spark, d), vocabulary()),
         "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d)),
         "op10_exact_dedup": lambda spark, d: exact.op10_exact_dedup(documents(spark, d)),
     }
