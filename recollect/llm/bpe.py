@@ -62,6 +62,7 @@ class Encoder:
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte = dict(zip([*own, *(i for i in range(256) if i not in own)], [*own, *range(256, 324)], strict=True))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_bytes = {t.encode() for t in self.special}
         self._special = re.compile(b"|".join(re.escape(s.encode()) for s in self.special) or b"(?!)")
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.plain = spec["normalizer"]["type"] == "Sequence" and self.end != ""
@@ -94,7 +95,7 @@ class Encoder:
 
     def learn(self, chunks: Iterable[bytes]) -> None:
         """Work out the ids of chunks not yet known."""
-        new = [c for c in chunks if c not in self.ids and c not in self.empty]
+        new = list(chunks)
         texts = [c.decode() for c in new]
         if self.engine == "library":
             plain = [_PLAIN_WORDS.findall(t.lower()) if self.plain and _PLAIN.fullmatch(t) else [t] for t in texts]
@@ -102,7 +103,7 @@ class Encoder:
         else:
             plain, make = [self.words(t) for t in texts], self.merge_words
         known = self.known
-        known |= make(sorted({w for ws in plain for w in ws} - known.keys()))
+        known |= make(sorted({w for ws in plain for w in ws if w not in known}))
         for c, ws in zip(new, plain, strict=True):
             ids = known[ws[0]] if len(ws) == 1 else sum((known[w] for w in ws), array("I"))
             if ids:
@@ -192,16 +193,18 @@ class Encoder:
         """Each text's chunks that have ids; all of them known from now on (until the next call)."""
         split = [self.chunks(t) for t in texts]
         wanted = set().union(*split)
-        if len(self.ids) + len(wanted - self.ids.keys()) > self.memory:
+        new = [c for c in wanted if c not in self.ids and c not in self.empty]
+        if len(self.ids) + len(new) > self.memory and len(self.ids) > len(self.special):
             self.clear()
-        self.learn(wanted)
+            new = wanted - self.special_bytes
+        self.learn(new)
         return [[c for c in own if c not in self.empty] for own in split] if self.empty else split
 
     def view(self, name: str, make) -> dict[bytes, object]:
         """What make says of each known chunk's ids."""
         known = self.views.setdefault(name, {})
-        for c in self.ids.keys() - known.keys():
-            known[c] = make(self.ids[c])
+        if len(known) < len(self.ids):
+            known.update((c, make(x)) for c, x in self.ids.items() if c not in known)
         return known
 
     def encode(self, text: str) -> list[int]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, packing, quality
+from . import bpe, exact, packing, quality, toxicity, urlfilter
 from .common import documents
 
 
@@ -21,10 +21,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": lambda spark, d: packing.op1_best_fit_packing(documents(spark, d), vocabulary()),
         "op2_bpe": lambda spark, d: bpe.op2_bpe(documents(spark, d), vocabulary()),
+        "op3_toxicity": lambda spark, d: toxicity.op3_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+        "op7_url_filters": lambda spark, d: urlfilter.op7_url_filters(spark.read.parquet(f"{d}/pages.parquet")),
         "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d)),
         "op10_exact_dedup": lambda spark, d: exact.op10_exact_dedup(documents(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality.ORACLE, "op10_exact_dedup": exact.ORACLE}
+    return {"op7_url_filters": urlfilter.ORACLE, "op8_quality_rules": quality.ORACLE, "op10_exact_dedup": exact.ORACLE}
