@@ -60,7 +60,7 @@ def mine_lexicon(texts: Sequence[set[str]], toxic: Sequence[int], most: int = MA
     bad, good, n_bad = Counter(), Counter(), sum(toxic)
     for own, y in zip(texts, toxic, strict=True):
         (bad if y else good).update(own)
-    least = max(3, n_bad // 200)
+    least = max(4, n_bad // 50)  # a sign that stands in fewer toxic texts may do so by chance
     found = [(c, s) for s, c in bad.items() if c >= least and c >= precision * (c + good[s])]
     return [s for _, s in sorted(found, key=lambda x: (-x[0], x[1]))[:most]]
 
