@@ -5,8 +5,8 @@ positions in that array. The pair of the lowest active rank is taken, merged at
 lists of the neighbouring pairs that come about are updated, until no pair is left. Words are independent of each other, so the
 order of ranks over the whole array is, for each word, the order that the word alone would take.
 
-What stands between white space in a text (a chunk) is worked out once and remembered, so that a text costs a look-up for each
-chunk. The memory is bounded: it is emptied when it holds MEMORY chunks.
+A word is worked out once and remembered, so that a text costs a look-up for each word. The memory is bounded: it is emptied when
+it holds MEMORY words.
 
 Defined cases: a null text is an empty text: no ids, 0 tokens, an empty decoded text; strings of special tokens that stand in a
 text become those tokens, as the library does; an empty table gives an empty table; rows are independent of each other.
@@ -28,12 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import ship, text_of
 
-MEMORY = 400_000
+MEMORY = 500_000
 
-#: Plain chunks: printable ASCII and Latin letters, which no normaliser but lower-casing changes. All others go through the
-#: library's normaliser and pre-tokeniser.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Plain texts: printable ASCII, Latin letters and white space, which no normaliser but lower-casing changes. Their words are
+#: found here. The chunks between white space of any other text go through the library's normaliser and pre-tokeniser.
+_PLAIN = re.compile("[\\x20-~\t\n\rÀ-ÖØ-öø-ÿ]*")
+_PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\x20\t\n\ra-z0-9ß-öø-ÿ]+")
+
+Key = str | bytes  # a word of a plain text, or a chunk of another
 
 
 class Encoder:
@@ -69,16 +71,19 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.ids: dict[bytes, array] = {s.encode(): array("I", [i]) for s, i in self.special.items()}
-        self.empty: set[bytes] = set()
-        self.known: dict[str, array] = {}  # words
-        self.views: dict[str, dict[bytes, object]] = {}
+        self.ids: dict[Key, array] = {s.encode(): array("I", [i]) for s, i in self.special.items()}
+        self.empty: set[Key] = set()
+        self.views: dict[str, dict[Key, object]] = {}
 
-    # What stands between white space -------------------------------------------------------------------------------
+    # What a text consists of ---------------------------------------------------------------------------------------
 
-    def chunks(self, text: str) -> list[bytes]:
+    def keys(self, text: str) -> list[Key]:
+        """A plain text's words, or another text's chunks, special tokens being chunks of their own."""
+        special = "<|" in text
+        if self.plain and not special and _PLAIN.fullmatch(text):
+            return _PLAIN_WORDS.findall(text.lower())
         raw = text.encode("utf-8", "replace")
-        if b"<|" in raw and self._special.search(raw):
+        if special and self._special.search(raw):
             out, at = [], 0
             for m in self._special.finditer(raw):
                 out += [*raw[at : m.start()].split(), m.group()]
@@ -86,33 +91,28 @@ class Encoder:
             return out + raw[at:].split()
         return raw.split()
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a chunk: lower case, in the vocabulary's byte alphabet."""
-        if self.plain and _PLAIN.fullmatch(chunk):
-            own = _PLAIN_WORDS.findall(chunk.lower())
-            return own if chunk.isascii() else [w.encode().decode("latin-1").translate(self.byte) for w in own]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
-
-    def learn(self, chunks: Iterable[bytes]) -> None:
-        """Work out the ids of chunks not yet known."""
-        new = list(chunks)
-        texts = [c.decode() for c in new]
+    def learn(self, new: list[Key]) -> None:
+        """Work out the ids of words and chunks not yet known."""
         if self.engine == "library":
-            plain = [_PLAIN_WORDS.findall(t.lower()) if self.plain and _PLAIN.fullmatch(t) else [t] for t in texts]
-            make = self.ask_library
+            found = self.ask_library([k if isinstance(k, str) else k.decode() for k in new])
         else:
-            plain, make = [self.words(t) for t in texts], self.merge_words
-        known = self.known
-        known |= make(sorted({w for ws in plain for w in ws if w not in known}))
-        for c, ws in zip(new, plain, strict=True):
-            ids = known[ws[0]] if len(ws) == 1 else sum((known[w] for w in ws), array("I"))
+            split = [self.words(k) for k in new]
+            known = self.merge_words(sorted({w for ws in split for w in ws}))
+            found = [known[ws[0]] if len(ws) == 1 else sum((known[w] for w in ws), array("I")) for ws in split]
+        for k, ids in zip(new, found, strict=True):
             if ids:
-                self.ids[c] = ids
+                self.ids[k] = ids
             else:
-                self.empty.add(c)
+                self.empty.add(k)
+
+    def words(self, key: Key) -> list[str]:
+        """Words in the vocabulary's byte alphabet."""
+        if isinstance(key, str):
+            return [key if key.isascii() else key.encode().decode("latin-1").translate(self.byte)]
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(key.decode()))]
 
-    def ask_library(self, words: list[str]) -> dict[str, array]:
-        return {w: array("I", e.ids) for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True)}
+    def ask_library(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def merge_words(self, words: list[str]) -> dict[str, array]:
         """Ids of each word, by the pair occurrence index over all of them."""
@@ -189,22 +189,22 @@ class Encoder:
 
     # Whole texts ----------------------------------------------------------------------------------------------------
 
-    def prepare(self, texts: Iterable[str]) -> list[list[bytes]]:
-        """Each text's chunks that have ids; all of them known from now on (until the next call)."""
-        split = [self.chunks(t) for t in texts]
+    def prepare(self, texts: Iterable[str]) -> list[list[Key]]:
+        """Each text's keys that have ids; all of them known from now on (until the next call)."""
+        split = [self.keys(t) for t in texts]
         wanted = set().union(*split)
-        new = [c for c in wanted if c not in self.ids and c not in self.empty]
+        new = [k for k in wanted if k not in self.ids and k not in self.empty]
         if len(self.ids) + len(new) > self.memory and len(self.ids) > len(self.special):
             self.clear()
-            new = wanted - self.special_bytes
+            new = list(wanted - self.special_bytes)
         self.learn(new)
-        return [[c for c in own if c not in self.empty] for own in split] if self.empty else split
+        return [[k for k in own if k not in self.empty] for own in split] if self.empty else split
 
-    def view(self, name: str, make) -> dict[bytes, object]:
-        """What make says of each known chunk's ids."""
+    def view(self, name: str, make) -> dict[Key, object]:
+        """What make says of each known key's ids."""
         known = self.views.setdefault(name, {})
         if len(known) < len(self.ids):
-            known.update((c, make(x)) for c, x in self.ids.items() if c not in known)
+            known.update((k, make(x)) for k, x in self.ids.items() if k not in known)
         return known
 
     def encode(self, text: str) -> list[int]:
