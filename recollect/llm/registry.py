@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, near, packing, pii, quality, substring, toxicity, urlfilter
+from . import bpe, exact, lm, near, packing, pii, quality, substring, toxicity, urlfilter
 from .common import documents
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": lambda spark, d: toxicity.op3_toxicity(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op4_order_minhash": lambda spark, d: near.op4_order_minhash(documents(spark, d)),
         "op5_pii": lambda spark, d: pii.op5_pii(documents(spark, d)),
+        "op6_lm_scoring": lambda spark, d: lm.op6_lm_scoring(documents(spark, d)),
         "op7_url_filters": lambda spark, d: urlfilter.op7_url_filters(spark.read.parquet(f"{d}/pages.parquet")),
         "op8_quality_rules": lambda spark, d: quality.op8_quality_rules(documents(spark, d)),
         "op9_substring_dedup": lambda spark, d: substring.op9_substring_dedup(documents(spark, d)),
