@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import scalar
+
+_PARTS = (scalar,)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id")
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for p in _PARTS for k, f in p.QUERIES.items()}
 
-def queries() -> dict:
-    return {}
 
+def oracle_sql() -> dict[str, str]:
+    return {k: s for p in _PARTS for k, s in p.ORACLES.items()}
 
-def oracle_sql() -> dict:
-    return {}
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["conf_algebra"](spark, sf_dir)

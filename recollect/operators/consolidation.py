@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..store import keep, ship
-from .cues import hours_between
+from .cues import at, hours_between
 
 STAGES = {"rem": 1.5, "nrem2": 1.0, "nrem3": 1.2, "wake": 0.5}
 
@@ -89,7 +89,7 @@ def centroids(members: DataFrame, key: str = "cluster") -> DataFrame:
 
 def replay_weights(members: DataFrame, as_of: datetime, stage: str = "rem", key: str = "cluster") -> DataFrame:
     """members with weight: recency (exp of -hours/24) x stage x confidence, summing to 1 in a cluster (equal where all are 0)."""
-    raw = F.exp(-F.greatest(hours_between(F.lit(as_of), F.col("when")), F.lit(0.0)) / 24) * STAGES[stage] * F.col("confidence")
+    raw = F.exp(-F.greatest(hours_between(at(as_of), F.col("when")), F.lit(0.0)) / 24) * STAGES[stage] * F.col("confidence")
     w = Window.partitionBy(key)
     total = F.sum("_r").over(w)
     return members.withColumn("_r", raw).withColumn("weight", F.when(total > 0, F.col("_r") / total).otherwise(1 / F.count(F.lit(1)).over(w))).drop("_r")
@@ -203,7 +203,7 @@ def formations_last_hour(events: DataFrame, key: str, when: str = "when") -> Dat
 
 
 def eligible_for_compaction(as_of: datetime, least_days: float = 7.0, most_confidence: float = 0.95) -> Column:
-    return (hours_between(F.lit(as_of), F.col("when")) / 24 >= least_days) & (F.col("confidence") < most_confidence)
+    return (hours_between(at(as_of), F.col("when")) / 24 >= least_days) & (F.col("confidence") < most_confidence)
 
 
 def compactable(members: DataFrame, patterns: DataFrame, least: float = 0.8, key: str = "cluster") -> DataFrame:
@@ -213,7 +213,7 @@ def compactable(members: DataFrame, patterns: DataFrame, least: float = 0.8, key
 
 
 def select_dream(episodes: DataFrame, as_of: datetime, least_hours: float = 24.0, most: int = 250) -> DataFrame:
-    old = episodes.where(hours_between(F.lit(as_of), F.col("when")) > least_hours)
+    old = episodes.where(hours_between(at(as_of), F.col("when")) > least_hours)
     return old.orderBy(F.desc("confidence"), "id").limit(most)
 
 
@@ -230,7 +230,7 @@ def replay_selection(episodes: DataFrame, most: int = 5) -> DataFrame:
 
 
 def systems_consolidation(episodes: DataFrame, as_of: datetime, delay_hours: float) -> DataFrame:
-    h = hours_between(F.lit(as_of), F.col("when"))
+    h = hours_between(at(as_of), F.col("when"))
     return episodes.where(h > delay_hours).select(F.concat(F.lit("semantic_"), F.col("id").cast("string")).alias("id"), (F.col("confidence") * F.exp(-h / 24)).alias("confidence"))
 
 

@@ -81,25 +81,30 @@ def by_context(episodes: DataFrame, cue: ContextCue) -> DataFrame:
     """The mean of what the cue asks for: time range (closed), location."""
     parts = []
     if cue.start is not None and cue.end is not None:
-        parts.append(F.when(F.col("when").between(F.lit(cue.start), F.lit(cue.end)), 1.0).otherwise(0.0))
+        parts.append(F.when(F.col("when").between(at(cue.start), at(cue.end)), 1.0).otherwise(0.0))
     if cue.location is not None:
         parts.append(X.location_similarity(F.lit(cue.location), F.col("where")))
     score = sum(parts[1:], parts[0]) / len(parts) if parts else F.lit(0.0)
     return ranked(episodes.withColumn("score", score).where(F.col("score") > cue.threshold), limit=cue.limit)
 
 
+def at(t: datetime) -> Column:
+    """A time as a column without a zone, as the tables have it."""
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def hours_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 3.6e9
 
 
 def temporal_score(when: Column, cue: TemporalCue, as_of: datetime) -> Column:
     if cue.kind == "before":
-        return F.when(when < F.lit(cue.at), 1.0).otherwise(0.0)
+        return F.when(when < at(cue.at), 1.0).otherwise(0.0)
     if cue.kind == "after":
-        return F.when(when > F.lit(cue.at), 1.0).otherwise(0.0)
+        return F.when(when > at(cue.at), 1.0).otherwise(0.0)
     if cue.kind == "between":
-        return F.when(when.between(F.lit(cue.at), F.lit(cue.end)), 1.0).otherwise(0.0)
-    age = hours_between(F.lit(as_of), when)
+        return F.when(when.between(at(cue.at), at(cue.end)), 1.0).otherwise(0.0)
+    age = hours_between(at(as_of), when)
     return F.when((age >= 0) & (age <= cue.hours), 1 - age / cue.hours).otherwise(0.0)
 
 
@@ -145,11 +150,11 @@ def confidence_between(low: float, high: float) -> Column:
 
 
 def created_before(t: datetime) -> Column:
-    return F.col("when") < F.lit(t)
+    return F.col("when") < at(t)
 
 
 def created_after(t: datetime) -> Column:
-    return F.col("when") > F.lit(t)
+    return F.col("when") > at(t)
 
 
 def similar_to(vector, threshold: float) -> Column:

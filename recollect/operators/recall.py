@@ -11,7 +11,7 @@ from ..functions import confidence as C
 from ..functions import decay as D
 from ..functions import vectors as V
 from . import graph
-from .cues import EmbeddingCue, hours_between, ranked
+from .cues import EmbeddingCue, at, hours_between, ranked
 
 
 def seed(memories: DataFrame, cue: EmbeddingCue, temperature: float = 0.5) -> DataFrame:
@@ -36,7 +36,7 @@ def recency_boost(age_hours: Column, factor: float = 1.2, window_hours: float =
 def rank(spread: DataFrame, seeds: DataFrame, memories: DataFrame, as_of: datetime, least: float = 0.1, most: int = 100) -> DataFrame:
     """Spread left-joined with the seeds (confidence x 1.1 there), joined with the memories, decayed, scored."""
     met = spread.join(seeds.select("id", "similarity"), "id", "left").join(memories.select("id", "when", "recall_count"), "id")
-    hours = F.greatest(hours_between(F.lit(as_of), F.col("when")), F.lit(0.0))
+    hours = F.greatest(hours_between(at(as_of), F.col("when")), F.lit(0.0))
     base = C.clamp(F.col("confidence") * F.when(F.col("similarity").isNotNull(), 1.1).otherwise(1.0))
     conf = D.lazy(base, hours, F.col("recall_count"))
     score = F.col("activation") * conf

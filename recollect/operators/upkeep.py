@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.confidence import clamp
-from .cues import hours_between
+from .cues import at, hours_between
 
 
 def tier_for(activation: Column) -> Column:
@@ -39,7 +39,7 @@ def access_frequency(access: DataFrame, alpha: float = 0.3) -> DataFrame:
 
 def migration_candidates(memories: DataFrame, as_of: datetime, most: int = 100) -> DataFrame:
     """Hot memories that should leave: weak, idle over five minutes, or falling; the weakest first."""
-    idle = hours_between(F.lit(as_of), F.col("last_access")) * 3600
+    idle = hours_between(at(as_of), F.col("last_access")) * 3600
     return memories.where((F.col("activation") < 0.3) | (idle > 300) | (F.col("trend") < -0.2)).orderBy("activation", "id").limit(most)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators.cues import ranked
+from ..operators.cues import at, ranked
 
 AS_OF = datetime(2024, 2, 1)
 
@@ -97,12 +97,12 @@ def compact(log: DataFrame, path: str) -> None:
 
 def backup(df: DataFrame, path: str, since: datetime | None = None, when: str = "when") -> None:
     """Full, or what came after a time."""
-    (df if since is None else df.where(F.col(when) > F.lit(since))).write.mode("errorifexists").parquet(path)
+    (df if since is None else df.where(F.col(when) > at(since))).write.mode("errorifexists").parquet(path)
 
 
 def restore(spark: SparkSession, paths: list[str], until: datetime | None = None, when: str = "when") -> DataFrame:
     df = spark.read.parquet(*paths)
-    return df if until is None else df.where(F.col(when) <= F.lit(until))
+    return df if until is None else df.where(F.col(when) <= at(until))
 
 
 def forget(memories: DataFrame, ids: DataFrame, how: str = "delete") -> DataFrame:
