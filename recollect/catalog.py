@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import scalar
+from .queries import graphs, relational, scalar
 
-_PARTS = (scalar,)
+_PARTS = (scalar, relational, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["conf_algebra"](spark, sf_dir)
+    return queries()["recall_knn"](spark, sf_dir)

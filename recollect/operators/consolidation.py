@@ -102,7 +102,7 @@ def pattern_strength(members: DataFrame, key: str = "cluster") -> DataFrame:
     return met.groupBy(key).agg(F.avg(V.cosine(F.col("embedding"), F.col("centroid"))).alias("strength"), F.count(F.lit(1)).alias("n"), F.min("when").alias("first"), F.max("when").alias("last"), F.first("centroid").alias("centroid"), F.array_sort(F.collect_set("id")).alias("source_episodes"))
 
 
-def coherence(members: DataFrame, key: str = "cluster", vector: str = "embedding") -> DataFrame:
+def coherence(members: DataFrame, key: str = "cluster", vector: str = "embedding", parts: int = 8) -> DataFrame:
     """key, coherence: mean neural similarity of all ordered pairs at no distance in time, by blocks of the group."""
     ship(members.sparkSession)
     kind = members.schema[key].dataType.simpleString()
@@ -119,13 +119,13 @@ def coherence(members: DataFrame, key: str = "cluster", vector: str = "embedding
                 out.append((getattr(r, key), float((1 / (1 + np.exp(-10 * (x @ y.T - 0.5)))).sum()), len(x) if r.sa == r.sb else 0))
             yield pd.DataFrame(out, columns=[key, "total", "own"])
 
-    salted = members.select(key, F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(32)).cast("int").alias("_salt"))
+    salted = members.select(key, F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_salt"))
     packed = salted.groupBy(key, "_salt").applyInPandas(lambda k, pdf: pack(pdf).assign(salt=k[1]), f"{key} {kind}, n long, vectors binary, width int, salt int")
     a = packed.select(key, F.col("vectors").alias("va"), F.col("salt").alias("sa"), "width")
     b = packed.select(key, F.col("vectors").alias("vb"), F.col("salt").alias("sb"))
-    parts = a.join(b, key).mapInPandas(sums, f"{key} {kind}, total double, own long")
+    sums_ = a.join(b, key).mapInPandas(sums, f"{key} {kind}, total double, own long")
     same = 1 / (1 + np.exp(-5.0))  # a vector with itself
-    all_ = parts.groupBy(key).agg(F.sum("total").alias("t"), F.sum("own").alias("n"))
+    all_ = sums_.groupBy(key).agg(F.sum("total").alias("t"), F.sum("own").alias("n"))
     return all_.select(key, F.when(F.col("n") > 1, (F.col("t") - F.col("n") * same) / (F.col("n") * (F.col("n") - 1))).otherwise(1.0).alias("coherence"), "n")
 
 

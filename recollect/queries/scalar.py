@@ -13,9 +13,18 @@ from ..functions import vectors as V
 from ..operators import cues as Q
 from ..sources import tables as T
 
-_A = F.col("confidence")
-_B = ((F.col("id") * 53) % 100) / 100
-_HOURS = Q.hours_between(Q.at(T.AS_OF), F.col("when"))
+
+def _a():
+    return F.col("confidence")
+
+
+def _b():
+    return ((F.col("id") * 53) % 100) / 100
+
+
+def _hours():
+    return Q.hours_between(Q.at(T.AS_OF), F.col("when"))
+
 
 # The same in SQL: episodes with a (confidence), b and hours.
 EPISODES = """e AS (SELECT event_id AS id, ts, user_id, event_type, value, 0.5 + 0.5 * ((event_id * 37) % 100) / 100 AS a, ((event_id * 53) % 100) / 100 AS b,
@@ -29,9 +38,9 @@ def _r(c, name: str, digits: int = 6):
 
 def conf_algebra(spark, d):
     return T.episodes(spark, d).select(
-        "id", _r(C.and_(_A, _B), "c_and"), _r(C.or_(_A, _B), "c_or"), _r(C.not_(_A), "c_not"), _r(C.combine_weighted(_A, _B, 2.0, 1.0), "c_mix"),
-        _r(C.decayed(_A, 0.35, 2), "c_hops"), _r(C.scaled(_A, _B), "c_scaled"), _r(C.calibrate_overconfidence(_A), "c_sober"), _r(C.update_with_base_rate(_A, _B), "c_base"),
-        C.bucket(_A).alias("bucket"), C.seems_legitimate(_A).alias("legit"), C.seems_questionable(_B).alias("questionable"), _r(C.from_successes(F.col("id") % 7, F.col("id") % 9), "c_success"),
+        "id", _r(C.and_(_a(), _b()), "c_and"), _r(C.or_(_a(), _b()), "c_or"), _r(C.not_(_a()), "c_not"), _r(C.combine_weighted(_a(), _b(), 2.0, 1.0), "c_mix"),
+        _r(C.decayed(_a(), 0.35, 2), "c_hops"), _r(C.scaled(_a(), _b()), "c_scaled"), _r(C.calibrate_overconfidence(_a()), "c_sober"), _r(C.update_with_base_rate(_a(), _b()), "c_base"),
+        C.bucket(_a()).alias("bucket"), C.seems_legitimate(_a()).alias("legit"), C.seems_questionable(_b()).alias("questionable"), _r(C.from_successes(F.col("id") % 7, F.col("id") % 9), "c_success"),
     )
 
 
@@ -43,7 +52,7 @@ CONF_ALGEBRA = f"""WITH {EPISODES} SELECT id, round(a * b, 6) AS c_and, round(a
 
 
 def conf_interval(spark, d):
-    e = T.episodes(spark, d).withColumns({"i": C.interval(_A, 0.2), "j": C.interval(_B, 0.4)})
+    e = T.episodes(spark, d).withColumns({"i": C.interval(_a(), 0.2), "j": C.interval(_b(), 0.4)})
     i, j = F.col("i"), F.col("j")
     return e.select(
         "id", _r(i["lower"], "lower"), _r(i["upper"], "upper"), _r(i["width"], "width"), _r(C.interval_and(i, j)["lower"], "and_lower"), _r(C.interval_or(i, j)["upper"], "or_upper"),
@@ -61,8 +70,8 @@ SELECT id, round(a - ha, 6) AS lower, round(a + ha, 6) AS upper, round(2 * ha, 6
 def conf_memory(spark, d):
     tier = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "warm").otherwise("cold")
     return T.episodes(spark, d).select(
-        "id", _r(C.weighted_distance(2.0, _A, _B), "distance"), _r(C.temporal_boost(_A, _HOURS * 3600, 0.5), "boosted"), _r(C.adjust_for_tier(_A, tier, _HOURS / 24), "tiered"),
-        _r(C.episode_confidence(_A, _B, 0.5, 0.1), "episode"), _r(C.through_binding(_A, _B), "bound", 8), _r(C.blend(_A, _B, 0.7, 0.3), "blended"), _r(Q.adaptive_threshold(_A, _B), "adaptive"),
+        "id", _r(C.weighted_distance(2.0, _a(), _b()), "distance"), _r(C.temporal_boost(_a(), _hours() * 3600, 0.5), "boosted"), _r(C.adjust_for_tier(_a(), tier, _hours() / 24), "tiered"),
+        _r(C.episode_confidence(_a(), _b(), 0.5, 0.1), "episode"), _r(C.through_binding(_a(), _b()), "bound", 8), _r(C.blend(_a(), _b(), 0.7, 0.3), "blended"), _r(Q.adaptive_threshold(_a(), _b()), "adaptive"),
     )
 
 
@@ -74,7 +83,7 @@ SELECT id, round(2 * (1 - a * b), 6) AS distance, round(least(a * (1 + 0.5 * exp
 
 
 def diversity_weighted(spark, d):
-    return T.episodes(spark, d).groupBy("what").agg(_r(C.diversity_weighted(_A, _B), "confidence"))
+    return T.episodes(spark, d).groupBy("what").agg(_r(C.diversity_weighted(_a(), _b()), "confidence"))
 
 
 DIVERSITY = f"WITH {EPISODES} SELECT event_type AS what, round(sum(a * greatest(b, 0.1)) / sum(greatest(b, 0.1)), 6) AS confidence FROM e GROUP BY 1"
@@ -82,8 +91,8 @@ DIVERSITY = f"WITH {EPISODES} SELECT event_type AS what, round(sum(a * greatest(
 
 def decay_curves(spark, d):
     return T.episodes(spark, d).select(
-        "id", _r(D.exponential(_A, _HOURS / 100), "exponential"), _r(D.power_law(_A, _HOURS), "power"), _r(D.hybrid(_A, _HOURS / 20), "hybrid"),
-        _r(D.two_component(_A, _HOURS / 100, F.col("recall_count")), "two_component"), _r(D.neocortical(_A, _HOURS / 24), "neocortical"), _r(D.lazy(_A, _HOURS / 100, F.col("recall_count")), "lazy"),
+        "id", _r(D.exponential(_a(), _hours() / 100), "exponential"), _r(D.power_law(_a(), _hours()), "power"), _r(D.hybrid(_a(), _hours() / 20), "hybrid"),
+        _r(D.two_component(_a(), _hours() / 100, F.col("recall_count")), "two_component"), _r(D.neocortical(_a(), _hours() / 24), "neocortical"), _r(D.lazy(_a(), _hours() / 100, F.col("recall_count")), "lazy"),
     )
 
 
@@ -95,14 +104,14 @@ SELECT id, round(a * exp(-h / 100 / 1.96), 6) AS exponential, round(a * pow(1 +
 
 
 def decay_blends(spark, d):
-    age = _HOURS / 24
-    enc, viv, rel = D.episode_forgetting(_A, _B, 0.7, _HOURS / 24)
+    age = _hours() / 24
+    enc, viv, rel = D.episode_forgetting(_a(), _b(), 0.7, _hours() / 24)
     return T.episodes(spark, d).select(
-        "id", _r(D.predicted_retention(_HOURS / 50, age), "predicted"), _r(D.memory_blend(_A, _HOURS / 50, age, F.col("what") == "view"), "memory"), _r(D.episode_blend(_A, _HOURS / 50, age, _B), "episode"),
-        _r(enc, "encoding"), _r(viv, "vividness"), _r(rel, "reliability"), _r(D.remerge(_A, _B, age), "remerge"), _r(D.ssts_retention(_A, 5.0, age), "ssts"),
-        _r(D.optimal_interval_days(5.0, F.lit(0.8)), "interval"), _r(D.spacing_interval(3.0, F.col("value") > 50), "spacing"), _r(D.testing_effect(_A, F.col("value") > 50), "testing"),
-        _r(D.theta_modulation(_B), "theta"), _r(D.half_life_days(0.3), "half_life"), _r(D.interference_strength(_A), "interference"), _r(D.hippocampal_tau(1.96, _A, _B, 1.0, 1.0, 1.0), "hip_tau"),
-        _r(D.neocortical_tau(10.0, _A, _B, 1.0, 1.0, 1.0), "neo_tau"), _r(D.record_recalls(_A, F.col("recall_count").cast("int")), "recalled"),
+        "id", _r(D.predicted_retention(_hours() / 50, age), "predicted"), _r(D.memory_blend(_a(), _hours() / 50, age, F.col("what") == "view"), "memory"), _r(D.episode_blend(_a(), _hours() / 50, age, _b()), "episode"),
+        _r(enc, "encoding"), _r(viv, "vividness"), _r(rel, "reliability"), _r(D.remerge(_a(), _b(), age), "remerge"), _r(D.ssts_retention(_a(), 5.0, age), "ssts"),
+        _r(D.optimal_interval_days(5.0, F.lit(0.8)), "interval"), _r(D.spacing_interval(3.0, F.col("value") > 50), "spacing"), _r(D.testing_effect(_a(), F.col("value") > 50), "testing"),
+        _r(D.theta_modulation(_b()), "theta"), _r(D.half_life_days(0.3), "half_life"), _r(D.interference_strength(_a()), "interference"), _r(D.hippocampal_tau(1.96, _a(), _b(), 1.0, 1.0, 1.0), "hip_tau"),
+        _r(D.neocortical_tau(10.0, _a(), _b(), 1.0, 1.0, 1.0), "neo_tau"), _r(D.record_recalls(_a(), F.col("recall_count").cast("int")), "recalled"),
     )
 
 
@@ -159,7 +168,7 @@ SELECT id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC
 def recall_constraints(spark, d):
     e = T.episodes(spark, d)
     own = e.where(Q.confidence_above(0.6) & Q.created_after(datetime(2024, 1, 10)) & Q.created_before(datetime(2024, 1, 20)) & Q.content_contains("CL"))
-    return own.select("id", _r(_A, "confidence"))
+    return own.select("id", _r(_a(), "confidence"))
 
 
 RECALL_CONSTRAINTS = f"WITH {EPISODES} SELECT id, round(a, 6) AS confidence FROM e WHERE a > 0.6 AND ts > TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' AND contains(event_type, 'cl')"
@@ -202,7 +211,7 @@ SELECT id, bucket, CAST(bit_count(xor(bucket, 43690)) AS BIGINT) AS hamming, CAS
 
 
 def grid_codes(spark, d):
-    e = T.episodes(spark, d).withColumn("g", V.grid_code(_A, _B))
+    e = T.episodes(spark, d).withColumn("g", V.grid_code(_a(), _b()))
     return e.select("id", *(_r(F.col("g")[i], f"g{i}") for i in range(4)))
 
 
