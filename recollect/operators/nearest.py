@@ -101,7 +101,7 @@ def assign(df: DataFrame, c: np.ndarray, nearest: int, key: str = "id", vector:
     return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(place, "id long, v array<double>, list int")
 
 
-def ivf_join(queries: DataFrame, corpus: DataFrame, k: int = 10, lists: int = 64, probes: int = 16, key: str = "id", vector: str = "embedding") -> DataFrame:
+def ivf_join(queries: DataFrame, corpus: DataFrame, k: int = 10, lists: int = 64, probes: int = 48, key: str = "id", vector: str = "embedding") -> DataFrame:
     """Approximate knn_join: all rows are indexed in the list of their nearest centroid, a query looks into `probes` lists.
     Lists are split into salted parts before they meet, so that a list that holds many rows is not one task's."""
     c = centroids(corpus, lists, key, vector)

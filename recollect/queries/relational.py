@@ -59,7 +59,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 def knn_approximate(spark, d):
     """By inverted lists; recall against knn_join is measured by a test."""
     m = T.memories(spark, d)
-    return N.ivf_join(m.where("id % 20 = 0"), m, 5, lists=32, probes=16).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    return N.ivf_join(m.where("id % 20 = 0"), m, 5, lists=32, probes=24).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def similarity_links(spark, d):
