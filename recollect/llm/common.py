@@ -2,45 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: dict[str, str] = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it was not installed (a path that does not exist there is harmless)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in known:
-        env["PYTHONPATH"] = ":".join([root, *known])
-    env.setdefault("TOKENIZERS_PARALLELISM", "false")
+from .. import store
+from ..store import keep, shared_dir
 
+__all__ = ["documents", "fresh", "keep", "shared_dir", "ship", "text_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or in local mode (tests) a folder made here."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN_DIR:
-        _OWN_DIR[key] = "file://" + tempfile.mkdtemp(prefix="recollect-")
-    return _OWN_DIR[key]
 
-
-def keep(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage, and survives lost executors."""
-    at = f"{shared_dir(df.sparkSession)}/recollect-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def ship(spark: SparkSession) -> None:
+    """As store.ship; tokenizers run one thread a worker, as Spark has a worker for each core."""
+    store.ship(spark)
+    spark.sparkContext.environment.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -62,6 +36,3 @@ def text_of(text: str = "text"):
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-
-def local_temp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
