@@ -7,8 +7,10 @@ text), and texts of similarity 0.8 or more are linked. Classes are the connected
 
 Equal texts (up to white space) are one node from the start. A bucket of candidates is not spread out into pairs: first each
 member is aligned with the bucket's first member, and components are taken. Only where a bucket still spans several components
-are its members of different components and fitting lengths aligned with each other, so that no link between components is lost;
-pairs inside a component could not change a class. Buckets and links are handled by joins and aggregates alone.
+are members of different components and fitting lengths aligned too: with each other in a bucket of at most SMALL texts, with
+LEADERS more members (of smallest hash) in a larger one. Pairs inside a component could not change a class. A large bucket that
+stays divided is one of texts that share a passage and little else; texts that are alike share dozens of other buckets, most of
+them small, so that the work grows with the texts and not with the square of a passage's. Joins and aggregates do all of this.
 
 Short texts have few k-mers: texts of at most SHORT words are sampled one k-mer at a time too; a text of less than five words is
 one k-mer.
@@ -32,6 +34,8 @@ from .substring import MOST_KEYS, word_hashes
 
 K, SIMILARITY = 5, 0.8
 ELL, SKETCHES, SHORT = 3, 96, 40
+#: A bucket of at most SMALL texts is aligned all across its components, a larger one with LEADERS more of its members.
+SMALL, LEADERS = 16, 3
 
 _U = np.uint64
 _ODD = (np.random.default_rng(20240201).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) << _U(1)) | _U(1)
@@ -230,12 +234,18 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     comps = keep(components(links))
     # Buckets that still span components: align across, never within.
     placed = members.join(comps, "tid", "left").select("sig", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    spread = keep(placed.join(open_, "sig", "left_semi"))
+    open_ = placed.groupBy("sig").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
+        *(F.min(F.struct(F.xxhash64(F.lit(i), "sig", "tid").alias("h"), "tid", "n", "comp")).alias(f"l{i}") for i in range(LEADERS)),
+    ).where("lo < hi")
+    spread = keep(placed.join(open_.where(F.col("size") <= SMALL).select("sig"), "sig", "left_semi"))
     a = spread.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     b = spread.select("sig", F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    fits = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-    across = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    leaders = open_.where(F.col("size") > SMALL).select("sig", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
+    led = placed.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(leaders.select("sig", F.col("l.tid").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("cb")).distinct(), "sig")
+    fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    across = a.join(b, "sig").where((F.col("a") < F.col("b")) & fits).select("a", "b")
+    across = across.unionByName(led.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     across = keep(across.join(stars, ["a", "b"], "left_anti"))
     more = keep(verified(across, words, similarity))
     return components(links.unionByName(more)) if not more.isEmpty() else comps
