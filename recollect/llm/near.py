@@ -105,7 +105,42 @@ def signatures(words: Sequence[bytes]) -> np.ndarray:
 
 
 def within_band(a: np.ndarray, b: np.ndarray, band: int, most: int) -> int:
-    """The edit distance of a and b over alignments that stay within `band` of the diagonal; over `most` once that is sure."""
+    """The edit distance of a and b over alignments that stay within `band` of the diagonal; over `most` once that is sure.
+
+    For 0, 1, 2 ... edits: how far each diagonal of the band can be followed. Equal words are passed at once, by a table of the
+    next difference on each diagonal; where that table would be large, row by row instead."""
+    la, lb = len(a), len(b)
+    far = la + lb + 1
+    if abs(la - lb) > band:
+        return far
+    if (2 * band + 1) * (la + 1) > 4_000_000:
+        return _by_rows(a, b, band, most)
+    k = np.arange(-band, band + 1)
+    padded = np.full(la + 2 * band + 1 + lb, -1, np.int64)
+    padded[band : band + lb] = b
+    same = np.lib.stride_tricks.sliding_window_view(padded, la)[: 2 * band + 1] == a if la else np.zeros((2 * band + 1, 0), bool)
+    following = np.full((2 * band + 1, la + 1), la, np.int32)
+    following[:, :la] = np.where(same, la, np.arange(la, dtype=np.int32))
+    following = np.minimum.accumulate(following[:, ::-1], axis=1)[:, ::-1]
+    end = np.minimum(la, lb - k)
+    row, goal = np.arange(2 * band + 1), lb - la + band
+    reach = np.full(2 * band + 1, -far)
+    reach[band] = min(following[band, 0], end[band])
+    edits = 0
+    while reach[goal] < la:
+        edits += 1
+        if edits > most:
+            return far
+        step = reach + 1
+        step[1:] = np.maximum(step[1:], reach[:-1])
+        step[:-1] = np.maximum(step[:-1], reach[1:] + 1)
+        step = np.minimum(step, end)
+        live = (step >= 0) & (step + k >= 0)
+        reach = np.where(live, np.minimum(following[row, np.where(live, step, 0)], end), -far)
+    return edits
+
+
+def _by_rows(a: np.ndarray, b: np.ndarray, band: int, most: int) -> int:
     la, lb = len(a), len(b)
     far = la + lb + 1
     width = 2 * band + 1
