@@ -240,9 +240,13 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ship(docs.sparkSession)
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # copies that a task meets again have the same rows
         for b in batches:
             tids, sigs, sizes = [], [], []
             for tid, t in zip(b["tid"].tolist(), b["t"], strict=True):
+                if tid in seen:
+                    continue
+                seen.add(tid)
                 words = t.encode("utf-8", "replace").split()
                 s = signatures(words)
                 sigs.append(s)
@@ -269,15 +273,14 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     comps = keep(components(links))
     # Buckets that still span components: align across, never within.
     placed = members.join(comps, "tid", "left").select("sig", "tid", "n", F.coalesce("comp", "tid").alias("comp"))
-    open_ = placed.groupBy("sig").agg(
-        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
-        *(F.min(F.struct(F.xxhash64(F.lit(i), "sig", "tid").alias("h"), "tid", "n", "comp")).alias(f"l{i}") for i in range(LEADERS)),
-    ).where("lo < hi")
-    spread = keep(placed.join(open_.where(F.col("size") <= SMALL).select("sig"), "sig", "left_semi"))
-    a = spread.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    b = spread.select("sig", F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    leaders = open_.where(F.col("size") > SMALL).select("sig", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
-    led = placed.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(leaders.select("sig", F.col("l.tid").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("cb")).distinct(), "sig")
+    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    spread = keep(placed.join(open_.select("sig", "size"), "sig"))
+    few, many = spread.where(F.col("size") <= SMALL), spread.where(F.col("size") > SMALL)
+    a = few.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    b = few.select("sig", F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
+    first = (F.min(F.struct(F.xxhash64(F.lit(i), "sig", "tid").alias("h"), "tid", "n", "comp")).alias(f"l{i}") for i in range(LEADERS))
+    leaders = many.groupBy("sig").agg(*first).select("sig", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
+    led = many.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(leaders.select("sig", F.col("l.tid").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("cb")).distinct(), "sig")
     fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     across = a.join(b, "sig").where((F.col("a") < F.col("b")) & fits).select("a", "b")
     across = across.unionByName(led.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
