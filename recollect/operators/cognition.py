@@ -26,16 +26,26 @@ def within(left: DataFrame, right: DataFrame, hours: float, by: list[str] | None
     return met.where((F.col("_rt") < F.col("_lt")) & (F.col("_rt") >= F.col("_lt") - size)).select("l", "r", ((F.col("_lt") - F.col("_rt")) / 3.6e9).alias("hours"))
 
 
+def _normed(episodes: DataFrame, by: list[str] | None) -> DataFrame:
+    """What a pair needs, with each vector's norm worked out once."""
+    return episodes.select("id", "when", *(by or []), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), V.norm(F.col("embedding")).alias("norm"))
+
+
+def _similarity() -> Column:
+    return F.round(V.cosine(F.col("l.embedding"), F.col("r.embedding"), F.col("l.norm"), F.col("r.norm")), 6)
+
+
 def proactive(episodes: DataFrame, hours: float = 6.0, least: float = 0.7, by: list[str] | None = None, each: float = 0.05, most: float = 0.3) -> DataFrame:
     """id, n, magnitude: earlier similar episodes within the window interfere, min(.05 n, .3)."""
-    pairs = within(episodes, episodes, hours, by).where(F.round(V.cosine(F.col("l.embedding"), F.col("r.embedding")), 6) >= least)
+    own = _normed(episodes, by)
+    pairs = within(own, own, hours, by).where(_similarity() >= least)
     return pairs.groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("magnitude", F.least(each * F.col("n"), F.lit(most)))
 
 
 def retroactive(episodes: DataFrame, hours: float = 24.0, least: float = 0.6, by: list[str] | None = None, most: float = 0.25) -> DataFrame:
     """id, n, magnitude of the later similar episodes' interference: min(.15 * mean((s - .6)/.4) * sqrt n, .25)."""
-    s = F.round(V.cosine(F.col("l.embedding"), F.col("r.embedding")), 6)
-    pairs = within(episodes, episodes, hours, by).withColumn("s", s).where(F.col("s") >= least)
+    own = _normed(episodes, by)
+    pairs = within(own, own, hours, by).withColumn("s", _similarity()).where(F.col("s") >= least)
     by_id = pairs.groupBy(F.col("r.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("s") - 0.6) / 0.4).alias("m"))
     return by_id.select("id", "n", F.least(0.15 * F.col("m") * F.sqrt("n"), F.lit(most)).alias("magnitude"))
 
