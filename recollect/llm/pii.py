@@ -92,7 +92,10 @@ def _spans(t: Column, number: int) -> Column:
     cut = F.split(F.regexp_replace(t, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT, -1)
     gaps = F.filter(cut, lambda x, i: i % 2 == 0)
     found = F.filter(cut, lambda x, i: i % 2 == 1)
-    rows = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.element_at(gaps, i + 1).alias("gap"), F.substring(F.element_at(gaps, i + 2), 1, 1).alias("next")))
+    # Zipped, not looked up: what a lambda names from outside is worked out anew for each element.
+    n = F.size(found)
+    rows = F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
+    rows = F.zip_with(rows, F.slice(gaps, F.lit(2), n), lambda r, g: F.struct(r["m"].alias("m"), r["gap"].alias("gap"), F.substring(g, 1, 1).alias("next")))
 
     def feature(m: Column, gap: Column, after: Column) -> list[Column]:
         told = F.lower(F.substring(gap, -24, 24))
