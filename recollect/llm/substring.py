@@ -36,13 +36,13 @@ _FLUSH = 3_000_000
 
 
 class _Hashes(dict):
-    """Words and their 64-bit hashes; bounded."""
+    """Words and their 64-bit hashes; bounded, as a worker keeps them for as long as it lives."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h
         return h
