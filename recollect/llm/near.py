@@ -7,10 +7,11 @@ text), and texts of similarity 0.8 or more are linked. Classes are the connected
 
 Equal texts (up to white space) are one node from the start. A bucket of candidates is not spread out into pairs: first each
 member is aligned with the bucket's first member, and components are taken. Only where a bucket still spans several components
-are members of different components and fitting lengths aligned too: with each other in a bucket of at most SMALL texts, with
-LEADERS more members (of smallest hash) in a larger one. Pairs inside a component could not change a class. A large bucket that
-stays divided is one of texts that share a passage and little else; texts that are alike share dozens of other buckets, most of
-them small, so that the work grows with the texts and not with the square of a passage's. Joins and aggregates do all of this.
+are members of different components and fitting lengths aligned too, each with each. Pairs inside a component could not change a
+class. In a bucket of more than SMALL texts, which is mostly one of texts that share a passage and little else, the pairs are not
+spread out either: blocks of at most BLOCK members meet block by block, and only pairs of which a histogram of their words does not
+show that they are too far apart go on. That test never drops a similar pair, so no link is lost; its work grows with the square of
+the bucket.
 
 Short texts have few k-mers: texts of at most SHORT words are sampled one k-mer at a time too; a text of less than five words is
 one k-mer.
@@ -34,8 +35,8 @@ from .substring import MOST_KEYS, word_hashes
 
 K, SIMILARITY = 5, 0.8
 ELL, SKETCHES, SHORT = 3, 96, 40
-#: A bucket of at most SMALL texts is aligned all across its components, a larger one with LEADERS more of its members.
-SMALL, LEADERS = 16, 3
+#: A bucket of more than SMALL texts meets itself in blocks of BLOCK members, by histograms of BINS counts of four bits.
+SMALL, BLOCK, BINS = 16, 1024, 1024
 
 _U = np.uint64
 _ODD = (np.random.default_rng(20240201).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) << _U(1)) | _U(1)
@@ -214,6 +215,67 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("tid"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("tid"), F.col("v").alias("comp")).distinct())
 
 
+def histogram(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each of BINS bins, 15 at most: cut counts differ by no more than the counts do."""
+    return np.minimum(np.bincount(words & (BINS - 1), minlength=BINS), 15).astype(np.uint8)
+
+
+def near_enough(n: np.ndarray, comp: np.ndarray, hist: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member i of left, the members of right that lie in another component and that neither the lengths nor the
+    histograms show to be further from i than the similarity allows. right is in order of length."""
+    nr = n[right].astype(np.int64)
+    for i in left:
+        size = int(n[i])
+        lo, hi = np.searchsorted(nr, [int(similarity * size) - 1, int(size / similarity) + 2])
+        some = right[lo:hi]
+        longest = np.maximum(nr[lo:hi], size)
+        most = ((1 - similarity) * longest + 1e-9).astype(np.int64)
+        fit = (np.abs(nr[lo:hi] - size) <= most) & (comp[some] != comp[i])
+        some, most = some[fit], most[fit]
+        if len(some):
+            other = hist[some]
+            both = np.minimum(other, hist[i]).sum(axis=1, dtype=np.int64)
+            gap = np.maximum(other.sum(axis=1, dtype=np.int64), int(hist[i].sum(dtype=np.int64))) - both
+            yield i, some[gap <= most]
+
+
+def across_blocks(spread: DataFrame, hists: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): the pairs inside a bucket of spread (sig, tid, n, comp, size) that span components and may be similar. A member
+    of block x of its bucket goes to the cells (x, y) of all blocks y; a cell is two blocks at most, whatever the bucket."""
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(cell: pd.DataFrame) -> pd.DataFrame:
+            cell = cell.sort_values(["n", "tid"])
+            tid, n, comp = (cell[c].to_numpy() for c in ("tid", "n", "comp"))
+            two = np.frombuffer(b"".join(cell["hist"]), np.uint8).reshape(-1, BINS // 2)
+            hist = np.hstack([two & 15, two >> 4])
+            first = (cell["block"] == cell["x"]).to_numpy()
+            every = np.arange(len(cell))
+            inner = bool(first.all()) and cell["x"].iloc[0] == cell["y"].iloc[0]
+            found = list(near_enough(n, comp, hist, every[first], every if inner else every[~first], similarity))
+            a = np.repeat(tid[[i for i, _ in found]], [len(j) for _, j in found]) if found else np.zeros(0, np.int64)
+            b = tid[np.concatenate([j for _, j in found])] if found else np.zeros(0, np.int64)
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = b[["sig", "x", "y"]].to_numpy()
+            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            ends = [0, *cut.tolist()]
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                yield out(b.iloc[lo:hi])
+            rest = b.iloc[ends[-1] :]
+        if rest is not None and len(rest):
+            yield out(rest)
+
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = spread.withColumn("block", F.pmod(F.xxhash64("tid", "sig"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "tid", "n", "comp")
+    met = placed.join(hists, "tid").repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
+    return met.select("sig", "x", "y", "block", "tid", "n", "comp", "hist").mapInPandas(meet, "a long, b long").distinct()
+
+
 def _few(df: DataFrame, key: str) -> DataFrame:
     return F.broadcast(df.select(key)) if df.count() <= MOST_KEYS else df.select(key)
 
@@ -262,6 +324,12 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"tid": b["tid"], "words": [word_hashes(t.encode("utf-8", "replace").split()).astype(np.uint32).tobytes() for t in b["t"]]})
 
+    def histograms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = BINS // 2
+        for b in batches:
+            hists = (histogram(np.frombuffer(w, np.uint32).astype(np.int64)) for w in b["words"])
+            yield pd.DataFrame({"tid": b["tid"], "hist": [(h[:half] | (h[half:] << 4)).tobytes() for h in hists]})
+
     texts = docs.select(normal().alias("t")).withColumn("tid", F.xxhash64("t"))
     rows = keep(texts.mapInPandas(sketches, "tid long, n int, sig long"))
     lead = rows.groupBy("sig").agg(F.min("tid").alias("lead"), F.max("tid").alias("last")).where("lead < last").select("sig", "lead")
@@ -278,12 +346,10 @@ def text_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     few, many = spread.where(F.col("size") <= SMALL), spread.where(F.col("size") > SMALL)
     a = few.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     b = few.select("sig", F.col("tid").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    first = (F.min(F.struct(F.xxhash64(F.lit(i), "sig", "tid").alias("h"), "tid", "n", "comp")).alias(f"l{i}") for i in range(LEADERS))
-    leaders = many.groupBy("sig").agg(*first).select("sig", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
-    led = many.select("sig", F.col("tid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")).join(leaders.select("sig", F.col("l.tid").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("cb")).distinct(), "sig")
     fits = (F.col("ca") != F.col("cb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
     across = a.join(b, "sig").where((F.col("a") < F.col("b")) & fits).select("a", "b")
-    across = across.unionByName(led.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    hists = words.join(many.select("tid").distinct(), "tid", "left_semi").mapInPandas(histograms, "tid long, hist binary")
+    across = across.unionByName(across_blocks(many, hists, similarity)).distinct()
     across = keep(across.join(stars, ["a", "b"], "left_anti"))
     more = keep(verified(across, words, similarity))
     return components(links.unionByName(more)) if not more.isEmpty() else comps

@@ -236,6 +236,29 @@ def test_links_across_a_bucket_are_not_lost(spark):
     assert {r["class_id"] for r in out.values()} == {1}
 
 
+def passage_rows(n, pairs):
+    """n texts of a shared passage of 200 words and 100 of their own; the first `pairs` have a copy with 45 edits outside the passage."""
+    passage = " ".join(f"common{k}" for k in range(200))
+    own = lambda i, c: " ".join(f"w{i}x{k}{'c' if c and k % 2 and k < 90 else ''}" for k in range(100))
+    return [(i, f"{passage} {own(i, False)}") for i in range(n)] + [(10_000 + i, f"{passage} {own(i, True)}") for i in range(pairs)]
+
+
+@pytest.mark.parametrize("n", [150, 400])
+def test_similar_pairs_among_texts_that_share_a_passage(spark, monkeypatch, n):
+    """All buckets of such a pair are the passage's, with hundreds of others."""
+    monkeypatch.setattr(near, "BLOCK", 100)
+    out = rows(near.op4_order_minhash(spark.createDataFrame(passage_rows(n, n // 10), "doc_id long, text string")))
+    assert {i: r["class_id"] for i, r in out.items()} == {i: i % 10_000 for i in out}
+
+
+def test_histograms_never_drop_a_similar_pair():
+    words = [near.word_hashes(changed(prose(60, 5), k, k).encode().split()).astype(np.uint32).astype(np.int64) for k in range(40)]
+    words.sort(key=len)
+    n, every = np.array([len(w) for w in words]), np.arange(40)
+    found = {(i, j) for i, js in near.near_enough(n, every, np.stack([near.histogram(w) for w in words]), every, every, 0.8) for j in js}
+    assert found >= {(i, j) for i in every for j in every if i != j and near.similar(words[i], words[j])}
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)]
