@@ -34,7 +34,7 @@ from .common import fresh, keep, ship, text_of
 from .substring import MOST_KEYS, word_hashes
 
 K, SIMILARITY = 5, 0.8
-ELL, SKETCHES, SHORT = 3, 96, 40
+ELL, SKETCHES, SHORT = 2, 96, 40
 #: A bucket of more than SMALL texts meets itself in blocks of BLOCK members, by histograms of BINS counts of four bits.
 SMALL, BLOCK, BINS = 16, 1024, 1024
 

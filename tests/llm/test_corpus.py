@@ -251,6 +251,20 @@ def test_similar_pairs_among_texts_that_share_a_passage(spark, monkeypatch, n):
     assert {i: r["class_id"] for i, r in out.items()} == {i: i % 10_000 for i in out}
 
 
+@pytest.mark.parametrize("edits, least", [(60, 45), (45, 48)])
+def test_pairs_at_the_threshold_become_candidates(edits, least):
+    """Of 50 pairs of 300 words, at similarity 0.80 and 0.85."""
+    found = 0
+    for k in range(50):
+        r = random.Random(k)
+        a = [b"x%d" % r.randrange(10**9) for _ in range(300)]
+        b = list(a)
+        for at in r.sample(range(300), edits):
+            b[at] = b"y%d" % r.randrange(10**9)
+        found += bool(set(near.signatures(a).tolist()) & set(near.signatures(b).tolist()))
+    assert found >= least
+
+
 def test_histograms_never_drop_a_similar_pair():
     words = [near.word_hashes(changed(prose(60, 5), k, k).encode().split()).astype(np.uint32).astype(np.int64) for k in range(40)]
     words.sort(key=len)
