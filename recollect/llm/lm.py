@@ -7,8 +7,8 @@ upwards until one is missing. The probability of a token after another is the pa
 own entries ask for.
 
 The filter and the table of single counts are broadcast if together they hold at most MAX_BROADCAST bytes, which is checked
-before anything is collected. Beyond, tokens meet their counts by joins, and pairs the filter's quantised counts likewise: the
-same scores but for the filter's false positives.
+before anything is collected. Beyond, tokens meet their counts by joins, and pairs go to their filter segment and are probed there:
+the same probes of the same filter, and the same scores.
 
 Tokens are words between white space, A-Z in lower case, and one end after each document; the end also stands before the first.
 
@@ -228,7 +228,7 @@ def score_documents(docs: DataFrame, train: DataFrame, max_broadcast: int = MAX_
     if size <= max_broadcast:
         out = _by_broadcast(docs, singles, filters, n, v)
     else:
-        out = _by_join(docs, train, singles, n, v)
+        out = _by_join(docs, filters, singles, n, v)
     return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -260,7 +260,20 @@ def _by_broadcast(docs: DataFrame, singles: DataFrame, filters: DataFrame, n: in
     return docs.select("doc_id", F.pandas_udf(score, _SCORE)(text_of()).alias("s")).select("doc_id", "s.*")
 
 
-def _by_join(docs: DataFrame, train: DataFrame, singles: DataFrame, n: int, v: int) -> DataFrame:
+def probed(docs: DataFrame, filters: DataFrame) -> DataFrame:
+    """pair, lv: the level that the filter gives each pair of docs, where it is not 0. Pairs meet the bits of their segment."""
+
+    def probe(pairs_: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        h = np.unique(pairs_["h"].to_numpy().view(_U))
+        model = Model(np.empty(0, _U), np.empty(0, np.int64), 0, 0, [(int(s), int(n), bytes(b)) for s, n, b in zip(own["segment"], own["n_bits"], own["bits"], strict=True)])
+        lv = model.levels(h)
+        return pd.DataFrame({"pair": h[lv > 0].view(np.int64), "lv": lv[lv > 0]})
+
+    asked = _counts(docs, True).select("h", F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int").alias("segment"))
+    return asked.groupBy("segment").cogroup(filters.groupBy("segment")).applyInPandas(probe, "pair long, lv long")
+
+
+def _by_join(docs: DataFrame, filters: DataFrame, singles: DataFrame, n: int, v: int) -> DataFrame:
     """The same by joins: rows are (document, pair, how often), reduced within the document first."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +286,7 @@ def _by_join(docs: DataFrame, train: DataFrame, singles: DataFrame, n: int, v: i
 
     keyed = docs.select("doc_id", text_of().alias("t")).withColumn("key", F.xxhash64("doc_id", "t"))
     rows = keyed.select("key", "t").dropDuplicates(["key"]).mapInPandas(spread, "key long, pair long, before long, token long, times long")
-    lv = _counts(train, True).groupBy(F.col("h").alias("pair")).agg((F.floor(F.log2(F.sum("n"))) + 1).alias("lv"))
+    lv = probed(docs, filters)
     one = singles.select(F.col("h").alias("token"), F.col("n").alias("c"))
     two = singles.select(F.col("h").alias("before"), F.col("n").alias("cb"))
     met = rows.join(lv, "pair", "left").join(one, "token", "left").join(two, "before", "left").fillna(0, ["lv", "c", "cb"])

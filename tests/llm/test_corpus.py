@@ -356,6 +356,20 @@ def test_lm(spark, docs, none):
     assert lm.op6_lm_scoring(none).count() == 0
 
 
+def test_lm_scores_alike_by_broadcast_and_by_join(spark):
+    """Also where the filter says yes to pairs that it does not hold."""
+    data = spark.createDataFrame([(i, prose(60, 900 + i)) for i in range(60)], "doc_id long, text string")
+    filters = lm.segments(data.where("doc_id < 30"))
+    held = [(r["segment"], r["n_bits"], bytes(r["bits"])) for r in filters.collect()]
+    model = lm.Model(np.empty(0, np.uint64), np.empty(0, np.int64), 0, 0, held)
+    h = np.unique(np.concatenate([lm.pairs(lm.tokens(prose(60, 900 + i))) for i in range(60)]))
+    want = {int(x): int(q) for x, q in zip(h.view(np.int64), model.levels(h), strict=True) if q}
+    assert {r["pair"]: r["lv"] for r in lm.probed(data, filters).collect()} == want
+    one, two = (rows(lm.score_documents(data, data.where("doc_id < 30"), max_broadcast=most)) for most in (lm.MAX_BROADCAST, 0))
+    for i in one:
+        assert two[i]["score"] == pytest.approx(one[i]["score"], rel=1e-12) and two[i]["n_known"] == one[i]["n_known"]
+
+
 def test_filter_reads_back_levels():
     h = near._mix(np.arange(1, 5001, dtype=np.uint64))
     n = np.random.default_rng(1).integers(1, 300, 5000).astype(float)
