@@ -131,9 +131,10 @@ def recall_pipeline(spark, d):
     m = T.vector_episodes(spark, d)
     from ..operators import nearest
 
-    links = keep(nearest.knn_join(m.where("id % 20 = 0"), m, 5, 0.1))
+    links = keep(nearest.knn_join(m, m, 5, 0.1))
     e = links.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("score").alias("weight"))
-    return P.recall(m, e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")), Q.EmbeddingCue(_QUERY, 0.1, 50), T.AS_OF, 2, 50).select("id", _r(F.col("score"), "score"), _r(F.col("confidence"), "confidence"))
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    return P.recall(m, keep(both), Q.EmbeddingCue(_QUERY, 0.1, 50), T.AS_OF, 2, 50).select("id", _r(F.col("score"), "score"), _r(F.col("confidence"), "confidence"))
 
 
 def proactive(spark, d):

@@ -1,9 +1,14 @@
 """Spreading activation: golden values of small graphs, and laws."""
 
+import os
+
+import numpy as np
 import pytest
 
+from recollect import catalog
+from recollect.operators import cues, nearest, recall, results
 from recollect.operators import graph as G
-from recollect.operators import nearest, results
+from recollect.queries.relational import _QUERY
 from recollect.sources import tables
 
 
@@ -82,3 +87,25 @@ def test_empty_tables(spark):
     none = edges(spark, [])
     assert [r["id"] for r in G.spread(none, seeds(spark, "a"), 3).collect()] == ["a"]
     assert results.interval_of(spark.createDataFrame([], "id long, confidence double")).first()["point"] == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the supplied tables are not here")
+def test_recall_pipeline_spreads_over_the_links_of_all_memories(spark):
+    """Against links from the full table of cosines."""
+    d = "/root/testdata/sf0.001"
+    m = tables.vector_episodes(spark, d)
+    local = m.select("id", "embedding").orderBy("id").toPandas()
+    ids, v = local["id"].to_numpy(), np.stack([np.asarray(x, float) for x in local["embedding"]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(v @ v.T, 6)
+    np.fill_diagonal(s, -2)
+    links = {}
+    for i in range(len(ids)):
+        for j in sorted(range(len(ids)), key=lambda j: (-s[i, j], ids[j]))[:5]:
+            if s[i, j] >= 0.1:
+                links[int(ids[i]), int(ids[j])] = links[int(ids[j]), int(ids[i])] = float(s[i, j])
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src long, dst long, weight double")
+    want = recall.recall(m, e, cues.EmbeddingCue(_QUERY, 0.1, 50), tables.AS_OF, 2, 50).collect()
+    got = catalog.queries()["recall_pipeline"](spark, d).collect()
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in want)
+    assert {r["id"]: r["score"] for r in got} == pytest.approx({r["id"]: r["score"] for r in want}, abs=2e-6)
