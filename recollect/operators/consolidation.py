@@ -28,41 +28,69 @@ def agglomerate(ids: np.ndarray, m: np.ndarray, threshold: float, linkage: str =
     to the first pair. centroid: cosine of means; average: mean neural similarity of members."""
     order = np.argsort(ids, kind="stable")
     m = m[order]
-    groups = [[i] for i in range(len(m))]
-    if linkage == "average":
-        cos = _unit(m) @ _unit(m).T
-        if hours is not None:
-            h = hours[order]
-            cos = cos * np.exp(-np.abs(h[:, None] - h[None, :]) / 24)
-        pair = 1 / (1 + np.exp(-10 * (cos - 0.5)))
-    while len(groups) > 1:
+    n, u = len(m), _unit(m)
+    h = hours[order] if hours is not None else None
+    groups = {i: [i] for i in range(n)}  # by first member
+    owner = np.arange(n)
+    center = u.copy()  # of the clusters
+
+    def similarities(i: int) -> np.ndarray:
+        """Of cluster i to the clusters after it (by their first members), and -2 elsewhere."""
+        out = np.full(n, -2.0)
+        later = live[np.searchsorted(live, i + 1) :]
+        out[later] = against(i, later)
+        return out
+
+    def against(i: int, others: np.ndarray) -> np.ndarray:
         if linkage == "centroid":
-            c = _unit(np.stack([m[g].mean(axis=0) for g in groups]))
-            s = c @ c.T
-        else:
-            k = np.zeros((len(groups), len(m)))
-            for i, g in enumerate(groups):
-                k[i, g] = 1 / len(g)
-            s = k @ pair @ k.T
-        s = np.round(np.where(np.triu(np.ones_like(s), 1) > 0, s, -2), 12)
-        i, j = np.unravel_index(s.argmax(), s.shape)
-        if s[i, j] < threshold:
+            return np.round(center[others] @ center[i], 12)
+        total = np.zeros(n)
+        for a in groups[i]:
+            cos = u @ u[a]
+            if h is not None:
+                cos = cos * np.exp(-np.abs(h - h[a]) / 24)
+            total += np.bincount(owner, weights=1 / (1 + np.exp(-10 * (cos - 0.5))), minlength=n)
+        return np.round(total[others] / (len(groups[i]) * np.bincount(owner, minlength=n)[others]), 12)
+
+    # For each cluster the best one after it: memory grows with the members and not with their pairs.
+    live = np.arange(n)
+    best, where = np.full(n, -2.0), np.full(n, -1)
+
+    def refresh(i: int) -> None:
+        s = similarities(i)
+        where[i] = s.argmax()
+        best[i] = s[where[i]]
+
+    for i in range(n):
+        refresh(i)
+    while len(live) > 1:
+        i = int(best.argmax())
+        if best[i] < threshold:
             break
+        j = int(where[i])
         groups[i] = sorted(groups[i] + groups.pop(j))
-    label = np.empty(len(m), np.int64)
-    for g in groups:
+        owner[groups[i]] = i
+        center[i] = _unit(m[groups[i]].mean(axis=0)[None, :])[0]
+        live = live[live != j]
+        best[j] = -2.0
+        refresh(i)
+        stale = live[np.isin(where[live], (i, j)) & (live < j) & (live != i) & (best[live] > -2)]
+        for k in stale:
+            refresh(int(k))
+        earlier = np.setdiff1d(live[live < i], stale)
+        s = against(i, earlier)
+        better = (s > best[earlier]) | ((s == best[earlier]) & (i < where[earlier]))
+        best[earlier[better]], where[earlier[better]] = s[better], i
+    label = np.empty(n, np.int64)
+    for g in groups.values():
         label[order[g]] = order[g[0]]
     return label
 
 
-def cluster(episodes: DataFrame, by: list[str], threshold: float = 0.8, linkage: str = "centroid", most: int = 2000, least_size: int = 1, least_coherence: float = 0.0) -> DataFrame:
-    """by..., id, cluster (its smallest id), size, coherence. Episodes are clustered within `by` and blocks of at most about `most`
-    rows (cells of an inverted file over the vectors), so that no group is one task's whatever its size."""
+def cluster(episodes: DataFrame, by: list[str], threshold: float = 0.8, linkage: str = "centroid", least_size: int = 1, least_coherence: float = 0.0) -> DataFrame:
+    """by..., id, cluster (its smallest id), size, coherence. A group of `by` is clustered whole, in one task: its memory grows with
+    the group's rows, its time with their square at least."""
     ship(episodes.sparkSession)
-    sizes = episodes.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.greatest(F.ceil(F.col("_n") / most), F.lit(1))
-    dim_cell = F.pmod(V.lsh_bucket(F.col("embedding"), 1, 1) * 0 + F.xxhash64(*(F.col("embedding")[i] >= 0 for i in range(8))), cells)
-    placed = episodes.join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, by).withColumn("_cell", F.when(F.col("_n") <= most, 0).otherwise(dim_cell).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, m = pdf["id"].to_numpy(), V.matrix(pdf["embedding"])
@@ -70,17 +98,18 @@ def cluster(episodes: DataFrame, by: list[str], threshold: float = 0.8, linkage:
         label = agglomerate(ids, m, threshold, linkage, hours)
         out = []
         u = _unit(m)
-        for g in np.unique(label):
-            own = np.flatnonzero(label == g)
-            s = 1 / (1 + np.exp(-10 * (u[own] @ u[own].T - 0.5)))
-            coherence = float((s.sum() - np.trace(s)) / (len(own) * (len(own) - 1))) if len(own) > 1 else 1.0
+        rows = np.argsort(label, kind="stable")
+        for own in np.split(rows, np.flatnonzero(np.diff(label[rows])) + 1):
+            total = sum(float((1 / (1 + np.exp(-10 * (u[own[at : at + 1024]] @ u[own].T - 0.5)))).sum()) for at in range(0, len(own), 1024))
+            itself = float((1 / (1 + np.exp(-10 * ((u[own] ** 2).sum(axis=1) - 0.5)))).sum())
+            coherence = (total - itself) / (len(own) * (len(own) - 1)) if len(own) > 1 else 1.0
             if len(own) >= least_size and coherence >= least_coherence:
                 out.append(pd.DataFrame({c: pdf[c].iloc[own].to_numpy() for c in by} | {"id": ids[own], "cluster": ids[own].min(), "size": len(own), "coherence": coherence}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in [*by, "id", "cluster", "size", "coherence"]})
 
     kinds = ", ".join(f"{c} {episodes.schema[c].dataType.simpleString()}" for c in by)
     kind = episodes.schema["id"].dataType.simpleString()
-    return placed.groupBy(*by, "_cell").applyInPandas(run, f"{kinds + ', ' if kinds else ''}id {kind}, cluster {kind}, size long, coherence double")
+    return episodes.groupBy(*by).applyInPandas(run, f"{kinds + ', ' if kinds else ''}id {kind}, cluster {kind}, size long, coherence double")
 
 
 def centroids(members: DataFrame, key: str = "cluster") -> DataFrame:

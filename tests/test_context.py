@@ -70,6 +70,15 @@ def test_clusters_and_diversity(spark):
     assert len(set(avg.values())) == 2
 
 
+def test_large_groups_are_clustered_whole(spark):
+    """2,100 rows in three directions, with signs of small dimensions at random: three clusters, as of few rows."""
+    r = np.random.default_rng(4)
+    v = np.hstack([r.normal(0, 0.01, (2100, 8)), np.eye(3)[np.arange(2100) % 3]])
+    df = spark.createDataFrame([(i, 0, x) for i, x in enumerate(v.tolist())], "id long, g int, embedding array<double>")
+    got = consolidation.cluster(df, ["g"], 0.8).collect()
+    assert {x["id"]: (x["cluster"], x["size"]) for x in got} == {i: (i % 3, 700) for i in range(2100)}
+
+
 def test_attractor():
     p = np.array([[1.0, 0, 1, 0, 1, 0, 0, 0], [0, 1.0, 0, 1, 0, 1, 0, 0]])
     w = completion.hebbian(p)
