@@ -20,7 +20,7 @@ def masked_neighbours(partials: DataFrame, episodes: DataFrame, k: int = 7, thre
     """partial_id, id, similarity, rank: the k most similar episodes over the known dimensions, within `by` if given."""
     p = partials.select(*(F.col(c).alias(f"_p_{c}") for c in by or []), F.col("id").alias("partial_id"), F.col("embedding").alias("_partial"))
     on = [F.col(f"_p_{c}") == F.col(c) for c in by] if by else None
-    met = episodes.join(p, on) if on else episodes.crossJoin(F.broadcast(p.limit(1000)))
+    met = episodes.join(p, on) if on else episodes.crossJoin(p)
     s = V.masked_cosine(F.col("_partial"), F.col("embedding"))
     scored = met.where(F.col("partial_id") != F.col("id")).select("partial_id", "id", F.round(s, 6).alias("similarity")).where(F.col("similarity") >= threshold)
     w = Window.partitionBy("partial_id").orderBy(F.desc("similarity"), "id")

@@ -79,6 +79,13 @@ def test_large_groups_are_clustered_whole(spark):
     assert {x["id"]: (x["cluster"], x["size"]) for x in got} == {i: (i % 3, 700) for i in range(2100)}
 
 
+def test_every_partial_meets_the_episodes(spark):
+    partials = spark.createDataFrame([(10_000 + i, [1.0, i % 2 / 10]) for i in range(1200)], "id long, embedding array<double>")
+    episodes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<double>")
+    got = completion.masked_neighbours(partials, episodes, k=1).collect()
+    assert sorted((r["partial_id"], r["id"]) for r in got) == [(10_000 + i, 1) for i in range(1200)]
+
+
 def test_attractor():
     p = np.array([[1.0, 0, 1, 0, 1, 0, 0, 0], [0, 1.0, 0, 1, 0, 1, 0, 0]])
     w = completion.hebbian(p)
