@@ -8,8 +8,8 @@ length on. If no bin fits and all are open, the fullest is closed first.
 Only (doc_id, piece, start, length, checksum) are shuffled, never tokens. AQE makes packing partitions as large as its advisory
 size (about a million pieces), so that the bins still open at a partition's end are few against those it has filled.
 
-Defined cases: a null text is an empty text: one piece, the end id alone; equal rows are packed as rows of their own; an empty
-table gives an empty table; of docs only doc_id and the text are read.
+Defined cases: a null text is an empty text: one piece, the end id alone; a doc_id of any type, null too, comes back as it was;
+equal rows are packed as rows of their own; an empty table gives an empty table; of docs only doc_id and the text are read.
 """
 
 from __future__ import annotations
@@ -17,15 +17,17 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _parts, encoder
+from .bpe import encoder
 from .common import ship, text_of
+from .words import runs
 
 SIZE = 2048
 OPEN_BINS = 4096
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 class OpenBins:
@@ -69,43 +71,45 @@ def pieces(docs: DataFrame, path: str, text: str = "text", size: int = SIZE, end
     ship(docs.sparkSession)
     last = int(end).to_bytes(4, "little")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = encoder(path, "library")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
         for b in batches:
-            rows, at = [], 0
-            keys = b["doc_id"].tolist()
-            for run in _parts(b["t"]):
-                split = e.prepare(run)
-                raw = e.view("bytes", lambda x: x.tobytes())
-                for own in split:
-                    ids = b"".join(map(raw.__getitem__, own)) + last
-                    for k, i in enumerate(range(0, len(ids), 4 * size)):
-                        part = ids[i : i + 4 * size]
-                        rows.append((keys[at], k, i // 4, len(part) // 4, zlib.crc32(part)))
-                    at += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = b.column(1)
+            for lo, hi in runs(texts):
+                ids, at = e.encode_run(texts.slice(lo, hi - lo))
+                raw, ends = memoryview(ids.astype("<u4")).cast("B"), at.tolist()
+                whose, parts = [], []
+                for row, (s, t) in enumerate(zip(ends[:-1], ends[1:], strict=True), lo):
+                    n = t - s + 1  # with the end
+                    for k, i in enumerate(range(0, n, size)):
+                        upto = min(n, i + size)
+                        crc = zlib.crc32(raw[4 * (s + i) : 4 * min(s + upto, t)])
+                        whose.append(row)
+                        parts.append((k, i, upto - i, zlib.crc32(last, crc) if upto == n else crc))
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*parts, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(whose, pa.int32())), *columns], names=PIECE)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(text).alias("t")).mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", text_of(text).alias("t")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(parts: DataFrame, size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
     """parts (with doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     ship(parts.sparkSession)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
         bins = OpenBins(size, open_bins)
         for b in batches:
-            placed = [bins.place(n) for n in b["length"].tolist()]
-            yield b.assign(sequence_id=[first + s for s, _ in placed], offset=[o for _, o in placed])
+            placed = [bins.place(n) for n in b.column("length").to_pylist()]
+            more = [pa.array([first + s for s, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*PIECE, "sequence_id", "offset"])
 
-    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    dealt = parts.select(*own).repartition(F.xxhash64("doc_id", "piece", "ids_crc32"))
-    ordered = dealt.sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), *own)
-    return ordered.mapInPandas(fill, f"{', '.join(f'{c} {parts.schema[c].dataType.simpleString()}' for c in own)}, sequence_id long, offset long")
+    dealt = parts.select(*PIECE).repartition(F.xxhash64("doc_id", "piece", "ids_crc32"))
+    ordered = dealt.sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), *PIECE)
+    return ordered.mapInArrow(fill, f"{', '.join(f'{c} {parts.schema[c].dataType.simpleString()}' for c in PIECE)}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", size: int = SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
