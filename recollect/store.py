@@ -37,4 +37,16 @@ def keep(df: DataFrame) -> DataFrame:
     """Write df into the shared folder and read it again: cuts the lineage, and survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/recollect-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    kept = df.sparkSession.read.schema(df.schema).parquet(at)
+    kept._kept_at = at
+    return kept
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete what `keep` wrote, where nothing that is still to run reads it (and what was not written by `keep` stays)."""
+    for df in kept:
+        at = getattr(df, "_kept_at", None)
+        if at is not None:
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
