@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import graphs, relational, scalar
+from .queries import graphs, lifecycle, relational, scalar
 
-_PARTS = (scalar, relational, graphs)
+_PARTS = (scalar, relational, graphs, lifecycle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

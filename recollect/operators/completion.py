@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import confidence as C
 from ..functions import text as X
 from ..functions import vectors as V
-from ..store import ship
+from ..store import keep, ship
 
 
 def masked_neighbours(partials: DataFrame, episodes: DataFrame, k: int = 7, threshold: float = 0.6, by: list[str] | None = None) -> DataFrame:
@@ -117,25 +117,19 @@ def consistency(confidence: Column) -> Column:
     return F.when(n < 2, 1.0).when(m < 1e-9, 0.5).otherwise(1 - F.least(F.stddev_pop(confidence) / m, F.lit(1.0)))
 
 
-def diverse(df: DataFrame, group: str, k: int = 5, least_gap: float = 0.3, pool: int = 200) -> DataFrame:
-    """group, id: greedily the surest that differ from all kept by 1 - cosine >= least_gap, among a group's `pool` surest."""
-    ship(df.sparkSession)
-    w = Window.partitionBy(group).orderBy(F.desc("confidence"), "id")
-    top = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pool).select(group, "id", "confidence", "embedding")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["confidence", "id"], ascending=[False, True])
-        m = V.matrix(pdf["embedding"])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        kept: list[int] = []
-        for i in range(len(m)):
-            if len(kept) < k and (not kept or 1 - (m[kept] @ m[i]).max() >= least_gap):
-                kept.append(i)
-        return pdf.iloc[kept][[group, "id", "confidence"]]
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (group, "id"))
-    return top.groupBy(group).applyInPandas(greedy, f"{kinds}, confidence double")
+def diverse(df: DataFrame, group: str, k: int = 5, least_gap: float = 0.3) -> DataFrame:
+    """group, id, confidence: greedily the surest (of equals the smallest id) that differ from all kept by 1 - cosine >= least_gap. Each of
+    k rounds takes one row of every group, and what is too close to it goes; no round brings a group together."""
+    left = df.select(group, "id", "confidence", "embedding")
+    kept = None
+    for _ in range(k):
+        best = keep(left.groupBy(group).agg(F.min_by(F.struct("id", "confidence", "embedding"), F.struct(-F.col("confidence"), F.col("id"))).alias("b")).select(group, "b.*"))
+        if best.isEmpty():
+            break
+        kept = best if kept is None else kept.unionByName(best)
+        near = best.select(F.col(group).alias("_g"), F.col("embedding").alias("_e"))
+        left = left.join(near, F.col(group) == F.col("_g")).where(1 - V.cosine(F.col("embedding"), F.col("_e")) >= least_gap).select(group, "id", "confidence", "embedding")
+    return (kept if kept is not None else left).select(group, "id", "confidence")
 
 
 # The attractor network --------------------------------------------------------------------------------------------------

@@ -269,8 +269,8 @@ def consolidation_progress(episodes: DataFrame, patterns: DataFrame) -> DataFram
 
 
 def prediction_error(episodes: DataFrame, patterns: DataFrame, dim: int, least: float = 0.7) -> DataFrame:
-    """Distance to the best pattern (cosine above `least`) by the dimension, else 1. Patterns are bounded by their detector."""
-    p = F.broadcast(patterns.select(F.col("centroid").alias("c"), F.col("cluster").alias("pattern")).limit(100))
-    met = episodes.join(p).select("id", V.cosine(F.col("embedding"), F.col("c")).alias("s"), V.euclidean(F.col("embedding"), F.col("c")).alias("d"), "pattern")
+    """Distance to the best pattern (cosine above `least`) by the dimension, else 1. All patterns given are met; a detector bounds them."""
+    p = patterns.select(F.col("centroid").alias("c"), F.col("cluster").alias("pattern"))
+    met = episodes.join(F.broadcast(p) if patterns.count() <= 10_000 else p).select("id", V.cosine(F.col("embedding"), F.col("c")).alias("s"), V.euclidean(F.col("embedding"), F.col("c")).alias("d"), "pattern")
     best = met.groupBy("id").agg(F.max(F.struct("s", F.negative("d").alias("nd"))).alias("b"))
     return best.select("id", F.when(F.col("b.s") > least, -F.col("b.nd") / dim).otherwise(1.0).alias("prediction_error"))

@@ -34,12 +34,30 @@ def spatial_neighbours(anchors: DataFrame, episodes: DataFrame) -> DataFrame:
 
 def containing(anchors: DataFrame, episodes: DataFrame, column: str, k: int, order: str) -> DataFrame:
     """anchor_id, id, rank: the k episodes (largest `order` first) whose text holds an anchor's, or the other way round. Texts that
-    hold each other share a word: they meet by words, the anchor's rarest or any of a shorter episode, and are then compared."""
+    hold each other share all words but the first and the last of the shorter (which may be parts of words): they meet by the rarest
+    inner word of the shorter text, which the longer one must have; texts of two words or fewer meet by the words that hold theirs."""
     a = anchors.select(F.col("id").alias("anchor_id"), F.lower(F.col(column)).alias("_a"))
     e = episodes.select("id", F.lower(F.col(column)).alias("_e"), order)
-    aw = a.withColumn("_w", F.explode(F.array_distinct(X.words(F.col("_a")))))
-    ew = e.withColumn("_w", F.explode(F.array_distinct(X.words(F.col("_e")))))
-    met = aw.join(ew, "_w").where("anchor_id <> id").where(F.contains("_a", "_e") | F.contains("_e", "_a")).dropDuplicates(["anchor_id", "id"])
+    aw, ew = (df.withColumn("_ws", X.words(F.col(t))) for df, t in ((a, "_a"), (e, "_e")))
+    seen = aw.select(F.explode(F.array_distinct("_ws")).alias("_w")).unionByName(ew.select(F.explode(F.array_distinct("_ws")).alias("_w"))).groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+
+    def by_rarest(df: DataFrame, key: str, text: str) -> DataFrame:
+        inner = df.select(key, F.explode(F.slice("_ws", F.lit(2), F.greatest(F.size("_ws") - 2, F.lit(0)))).alias("_w")).join(seen, "_w")
+        return df.join(inner.groupBy(key).agg(F.min_by("_w", F.struct("_n", "_w")).alias("_w")), key).select(*(c for c in df.columns if c != "_ws"), "_w")
+
+    def by_any(df: DataFrame) -> DataFrame:
+        return df.withColumn("_w", F.explode(F.array_distinct("_ws"))).drop("_ws")
+
+    def short(inside: DataFrame, holds: DataFrame, text: str) -> DataFrame:
+        """Texts of one or two words: their words against the distinct words, and these against the texts."""
+        few = inside.where(F.size("_ws").between(1, 2)).withColumn("_first", F.element_at("_ws", 1))
+        names = few.select("_first").distinct()
+        vocabulary = by_any(holds).select("_w").distinct().join(names, F.contains(F.col("_w"), F.col("_first"))).select("_first", "_w")
+        return few.drop("_ws").join(vocabulary, "_first").drop("_first")
+
+    met = by_rarest(aw, "anchor_id", "_a").join(by_any(ew), "_w").unionByName(by_any(aw).join(by_rarest(ew, "id", "_e"), "_w"), allowMissingColumns=True)
+    met = met.unionByName(short(aw, ew, "_a").join(by_any(ew), "_w")).unionByName(by_any(aw).join(short(ew, aw, "_e"), "_w"))
+    met = met.where("anchor_id <> id").where(F.contains("_a", "_e") | F.contains("_e", "_a")).dropDuplicates(["anchor_id", "id"])
     w = Window.partitionBy("anchor_id").orderBy(F.desc(order), "id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("anchor_id", "id", "rank")
 
@@ -48,7 +66,7 @@ def concept_similarity(episodes: DataFrame, concepts: DataFrame) -> DataFrame:
     """id, concept, similarity of every episode to every concept: concepts (id as concept, centroid) are few by construction and
     meet the episodes in blocks."""
     c = concepts.select(F.col("concept").cast("long").alias("id"), F.col("centroid").alias("embedding"))
-    found = nearest.knn_join(episodes.select((-F.col("id") - 1).alias("id"), "embedding"), c, k=1_000)
+    found = nearest.knn_join(episodes.select((-F.col("id") - 1).alias("id"), "embedding"), c, k=max(1, concepts.count()))
     return found.select((-F.col("query_id") - 1).alias("id"), F.col("id").alias("concept"), F.col("score").alias("similarity"))
 
 

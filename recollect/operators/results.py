@@ -5,6 +5,7 @@ are DataFrames beside it."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -123,9 +124,16 @@ def odds_fold(evidence: DataFrame, key: str, prior: float = 0.5) -> DataFrame:
         odds = F.try_divide(p, 1 - p) * F.try_divide(s, 1 - s)
         return F.when(odds.isNull() | F.isnan(odds), 0.6 * p + 0.4 * s).otherwise(odds / (1 + odds))
 
+    # Odds multiply, so the order does not matter and their logarithms are summed; where some strength is no odds (0 or 1), the key's
+    # evidence is folded in its order, in one row.
+    log_odds = F.ln(F.col("strength") / (1 - F.col("strength")))
+    proper = (F.col("strength") > 0) & (F.col("strength") < 1)
+    sums = evidence.groupBy(key).agg(F.sum(F.when(proper, log_odds)).alias("_l"), F.count(F.lit(1)).alias("n"), F.max(F.when(proper, 0).otherwise(1)).alias("_odd"))
+    start = math.log(prior / (1 - prior))
+    plain = sums.where("_odd = 0").select(key, (1 / (1 + F.exp(-(F.col("_l") + start)))).alias("confidence"), F.col("n").cast("int").alias("n"))
     rows = F.array_sort(F.collect_list(F.struct("ts", "evidence_id", "strength")))
-    folded = evidence.groupBy(key).agg(rows.alias("e"))
-    return folded.select(key, F.aggregate("e", F.lit(prior), step).alias("confidence"), F.size("e").alias("n"))
+    folded = evidence.join(sums.where("_odd = 1").select(key), key, "left_semi").groupBy(key).agg(rows.alias("e"))
+    return plain.unionByName(folded.select(key, F.aggregate("e", F.lit(prior), step).alias("confidence"), F.size("e").alias("n")))
 
 
 def uncertainty_total(sources: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -161,7 +169,9 @@ def calibration_errors(samples: DataFrame, bins: int = 10) -> DataFrame:
     def rank(c: str) -> Column:
         return F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
 
-    ranked = by.withColumns({"rc": rank("confidence"), "ra": rank("accuracy")})
+    # Averages that differ by their last digits alone, which depend on partitions, are ties.
+    ranked = by.withColumns({"ct": F.round("confidence", 9), "at": F.round("accuracy", 9)})
+    ranked = ranked.withColumns({"rc": rank("ct"), "ra": rank("at")})
     gap = F.abs(F.col("confidence") - F.col("accuracy"))
     errors = ranked.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"), F.when(F.count(F.lit(1)) >= 3, F.corr("rc", "ra")).alias("spearman"))
     brier = samples.agg(F.avg(F.pow(F.col("predicted") - F.col("correct").cast("double"), 2)).alias("brier"))

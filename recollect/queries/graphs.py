@@ -16,7 +16,7 @@ from ..operators import recall as P
 from ..sources import tables as T
 from ..store import keep
 from ..streaming import observe as S
-from .relational import _QUERY, _SQL_C, _SQL_M
+from .relational import _QUERY, _SQL_C, _SQL_M, _SQL_Q
 from .scalar import EPISODES, _r
 
 # Parts bought together: an edge's weight is the pair's orders by the source's.
@@ -410,15 +410,35 @@ def ssts_states(spark, d):
     return s.select("who", _r(F.col("s.s"), "stability"), _r(F.col("s.r"), "retrievability"), _r(F.col("s.d"), "difficulty"))
 
 
+SSTS = f"""WITH RECURSIVE {EPISODES}, x AS (SELECT user_id AS who, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n, value > 30 AS ok, 1 + value % 1 AS effort, a FROM e),
+f AS (SELECT DISTINCT who, CAST(0 AS BIGINT) AS k, CAST(1.0 AS DOUBLE) AS s, CAST(0.9 AS DOUBLE) AS r, CAST(5.0 AS DOUBLE) AS d FROM x
+UNION ALL SELECT f.who, k + 1, CASE WHEN ok THEN s + d * 1.1 * (1 + 0.9 * (effort - 1)) ELSE s * 0.95 END, CASE WHEN ok THEN 0.9 + 0.08 * a ELSE 0.1 END, CASE WHEN ok THEN d ELSE d * 1.15 END FROM f JOIN x ON x.who = f.who AND x.n = f.k + 1)
+SELECT who, round(max_by(s, k), 6) AS stability, round(max_by(r, k), 6) AS retrievability, round(max_by(d, k), 6) AS difficulty FROM f GROUP BY who"""
+
+_RECALL_THRESHOLD = "CASE depth WHEN 0 THEN 0.01 ELSE 0.05 END"
+RECALL_PIPELINE = f"""WITH {_SQL_Q}, {_SQL_VE}, p AS (SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS s FROM ve x JOIN ve y ON x.id <> y.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM p WHERE s >= 0.1), g AS (SELECT src, dst, max(weight) AS weight FROM (SELECT a AS src, b AS dst, s AS weight FROM k WHERE n <= 5 UNION ALL SELECT b, a, s FROM k WHERE n <= 5) GROUP BY 1, 2),
+h AS (SELECT id, list_cosine_similarity(v, q) AS sim FROM ve, q WHERE list_cosine_similarity(v, q) >= 0.1 ORDER BY sim DESC, id LIMIT 50), s AS (SELECT id, sim, 1 / (1 + exp(-(sim - 0.4) / 0.5)) AS a FROM h WHERE 1 / (1 + exp(-(sim - 0.4) / 0.5)) >= 0.01),
+l1 AS (SELECT dst AS id, sum(a * weight * exp(-0.7)) AS l FROM s JOIN g ON src = id GROUP BY 1),
+t1 AS (SELECT coalesce(s.id, l1.id) AS id, least(coalesce(a, 0) + coalesce(l, 0), 1) AS total, CASE WHEN s.id IS NULL THEN 1 ELSE 0 END AS depth, s.id IS NOT NULL AND l1.id IS NOT NULL AS again, l FROM s FULL JOIN l1 ON s.id = l1.id),
+l2 AS (SELECT dst AS id, sum(l * weight * exp(-1.4)) AS l FROM t1 JOIN g ON src = t1.id WHERE l IS NOT NULL AND total >= {_RECALL_THRESHOLD} GROUP BY 1),
+t2 AS (SELECT coalesce(t1.id, l2.id) AS id, least(coalesce(total, 0) + coalesce(l2.l, 0), 1) AS total, coalesce(depth, 2) AS depth, coalesce(again, false) OR (t1.id IS NOT NULL AND l2.id IS NOT NULL) AS again FROM t1 FULL JOIN l2 ON t1.id = l2.id),
+f AS (SELECT id, depth, CASE WHEN total >= {_RECALL_THRESHOLD} THEN total ELSE 0 END * CASE WHEN again THEN 0.93 ELSE 1 END AS act FROM t2),
+m AS (SELECT f.id, act, sim, least(act * CASE depth WHEN 0 THEN 1 ELSE 0.95 END * CASE WHEN sim IS NULL THEN 1 ELSE 1.1 END, 1) AS base, greatest((epoch_us(TIMESTAMP '2024-02-01') - epoch_us(ts)) / 3.6e9, 0) AS h FROM f LEFT JOIN s USING (id) JOIN ve ON ve.id = f.id),
+w AS (SELECT *, CASE WHEN id % 6 >= 3 THEN least(greatest(base * greatest(pow(1 + h / 24, -0.3 / 1.12), 0.01), 0.3), 1) ELSE base * exp(-h / 1.96) END AS two FROM m), c AS (SELECT *, least(greatest(two * CASE WHEN two > 0.7 THEN 0.965 ELSE 1.005 END, 0.1), 1) AS conf FROM w),
+o AS (SELECT id, conf, CASE WHEN sim IS NULL THEN act * conf ELSE (act * conf + sim) / 2 END * CASE WHEN h <= 24 THEN 1 + 0.2 * (1 - h / 24) ELSE 1 END AS score FROM c WHERE conf >= 0.1)
+SELECT id, round(score, 6) AS score, round(conf, 6) AS confidence FROM o ORDER BY o.score DESC, id LIMIT 50"""
+
+
 _ALL = {
     "associative_edges": (associative_edges, EDGES), "spread_one_step": (spread_one_step, ONE_STEP), "spread_two_hops": (spread_two_hops, TWO_HOPS), "bfs_depth": (bfs_depth, BFS), "spread_normalised": (spread_normalised, NORMALISED),
-    "spread_hierarchical": (spread_hierarchical, HIERARCHICAL), "fan_effect": (fan_effect, FAN), "fan_statistics": (fan_statistics, FAN_STATISTICS), "concept_bindings": (bindings, BINDINGS), "recall_pipeline": (recall_pipeline, None),
+    "spread_hierarchical": (spread_hierarchical, HIERARCHICAL), "fan_effect": (fan_effect, FAN), "fan_statistics": (fan_statistics, FAN_STATISTICS), "concept_bindings": (bindings, BINDINGS), "recall_pipeline": (recall_pipeline, RECALL_PIPELINE),
     "proactive_interference": (proactive, PROACTIVE), "retroactive_interference": (retroactive, RETROACTIVE), "temporal_neighbours": (temporal_neighbours, TEMPORAL_NEIGHBOURS), "associative_strength": (associations, ASSOCIATIONS),
     "priming": (priming, PRIMING), "reconsolidation": (reconsolidation, RECONSOLIDATION), "pattern_strength": (pattern_strength, PATTERN_STRENGTH), "cluster_coherence": (cluster_coherence, COHERENCE), "replay_weights": (replay_weights, REPLAY_WEIGHTS),
     "compaction_eligible": (compaction, COMPACTION), "compactable_patterns": (compactable, COMPACTABLE), "cluster_patterns": (cluster_patterns, None), "dream_cycle": (dream_cycle, None), "proto_upsert": (proto_upsert, PROTO), "formations_last_hour": (formations, FORMATIONS),
     "masked_neighbours": (masked_neighbours, MASKED), "field_votes": (field_votes, FIELD_VOTES), "reconstruct_embedding": (reconstruct, RECONSTRUCT), "attractor_completion": (completed, None), "evidence_integration": (integration, INTEGRATION),
     "completion_consistency": (consistency, CONSISTENCY), "top_people": (top_people, TOP_PEOPLE), "stream_sequence_gaps": (sequence_gaps, SEQUENCE), "stream_tumbling": (stream_tumbling, TUMBLING), "stream_sliding": (stream_sliding, SLIDING),
-    "stream_sessions": (stream_sessions, SESSIONS), "backpressure": (backpressure, BACKPRESSURE), "ssts_states": (ssts_states, None),
+    "stream_sessions": (stream_sessions, SESSIONS), "backpressure": (backpressure, BACKPRESSURE), "ssts_states": (ssts_states, SSTS),
 }
 QUERIES = {k: f for k, (f, _) in _ALL.items()}
 ORACLES = {k: s for k, (_, s) in _ALL.items() if s}

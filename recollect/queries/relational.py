@@ -108,7 +108,7 @@ SELECT id, round(list_cosine_similarity(v, t), 6) AS score FROM m, t ORDER BY sc
 
 
 def multi_cue(spark, d):
-    cues = T.memories(spark, d).where("id % 10 < 3").withColumn("g", F.floor(F.col("id") / 10)).select("g", F.col("id").alias("cue_id"), "embedding", "confidence")
+    cues = T.memories(spark, d).withColumn("g", F.floor(F.col("id") / 10)).select("g", F.col("id").alias("cue_id"), "embedding", "confidence")
     out = None
     for how in ("average", "confidence", "attention"):
         x = P.combine_cues(cues, how, ["g"]).select("g", F.lit(how).alias("how"), _r(F.col("centroid")[0], "x0"), _r(F.col("centroid")[63], "x63"))
@@ -116,7 +116,7 @@ def multi_cue(spark, d):
     return out
 
 
-MULTI_CUE = f"""WITH {_SQL_M}, k AS (SELECT id // 10 AS g, a, v[1] AS x, v[64] AS y FROM m WHERE id % 10 < 3)
+MULTI_CUE = f"""WITH {_SQL_M}, k AS (SELECT id // 10 AS g, a, v[1] AS x, v[64] AS y FROM m)
 SELECT g, 'average' AS how, round(avg(x), 6) AS x0, round(avg(y), 6) AS x63 FROM k GROUP BY g UNION ALL SELECT g, 'confidence', round(sum(x * a) / sum(a), 6), round(sum(y * a) / sum(a), 6) FROM k GROUP BY g
 UNION ALL SELECT g, 'attention', round(sum(x * exp(a)) / sum(exp(a)), 6), round(sum(y * exp(a)) / sum(exp(a)), 6) FROM k GROUP BY g"""
 
@@ -186,11 +186,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY s DESC, id) AS n FR
 
 
 def odds_fold(spark, d):
-    few = _evidence(spark, d).where("evidence_id % 10 = 0").withColumn("strength", F.col("strength") + 0.2)
-    return R.odds_fold(few, "who").select("who", _r(F.col("confidence"), "confidence", 9), F.col("n").cast("long").alias("n"))
+    own = _evidence(spark, d).withColumn("strength", F.col("strength") + 0.2)
+    return R.odds_fold(own, "who").select("who", _r(F.col("confidence"), "confidence", 9), F.col("n").cast("long").alias("n"))
 
 
-ODDS_FOLD = f"""WITH {EPISODES}, s AS (SELECT user_id AS who, a / 2 + 0.2 AS s FROM e WHERE id % 10 = 0), o AS (SELECT who, exp(sum(ln(s / (1 - s)))) AS o, count(*) AS n FROM s GROUP BY 1)
+ODDS_FOLD = f"""WITH {EPISODES}, s AS (SELECT user_id AS who, a / 2 + 0.2 AS s FROM e), o AS (SELECT who, exp(sum(ln(s / (1 - s)))) AS o, count(*) AS n FROM s GROUP BY 1)
 SELECT who, round(o / (1 + o), 9) AS confidence, n FROM o"""
 
 
@@ -215,14 +215,14 @@ UNCERTAINTY_SUMMARY = f"WITH {EPISODES} SELECT event_type AS kind, count(*) AS n
 
 
 def _samples(spark, d):
-    return T.read(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("predicted"), (F.col("l_returnflag") == "R").alias("correct"))
+    return T.read(spark, d, "lineitem").select(F.round(F.col("l_discount") * 10, 6).alias("predicted"), (F.col("l_returnflag") == "R").alias("correct"))
 
 
 def calibration(spark, d):
     return R.calibration_bins(_samples(spark, d)).select("bin", "n", _r(F.col("confidence"), "confidence"), _r(F.col("accuracy"), "accuracy"))
 
 
-_SQL_S = "s AS (SELECT l_discount * 10 AS p, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), b AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS y FROM s GROUP BY 1)"
+_SQL_S = "s AS (SELECT round(l_discount * 10, 6) AS p, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), b AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS n, avg(p) AS c, avg(y) AS y FROM s GROUP BY 1)"
 CALIBRATION = f"WITH {_SQL_S} SELECT bin, n, round(c, 6) AS confidence, round(y, 6) AS accuracy FROM b"
 
 
@@ -230,7 +230,8 @@ def calibration_errors(spark, d):
     return R.calibration_errors(_samples(spark, d)).select(*(_r(F.col(c), c) for c in ("ece", "mce", "spearman", "brier")))
 
 
-CALIBRATION_ERRORS = f"""WITH {_SQL_S}, r AS (SELECT *, rank() OVER (ORDER BY c) AS rc, rank() OVER (ORDER BY y) AS ry FROM b)
+CALIBRATION_ERRORS = f"""WITH {_SQL_S}, t AS (SELECT *, round(c, 9) AS ct, round(y, 9) AS yt FROM b),
+r AS (SELECT *, rank() OVER (ORDER BY ct) + (count(*) OVER (PARTITION BY ct) - 1) / 2 AS rc, rank() OVER (ORDER BY yt) + (count(*) OVER (PARTITION BY yt) - 1) / 2 AS ry FROM t)
 SELECT round(sum(n * abs(c - y)) / sum(n), 6) AS ece, round(max(abs(c - y)), 6) AS mce, round(corr(rc, ry), 6) AS spearman, (SELECT round(avg(pow(p - y, 2)), 6) FROM s) AS brier FROM r"""
 
 
@@ -259,6 +260,11 @@ def access_frequency(spark, d):
     return U.access_frequency(_access(spark, d)).select("id", _r(F.col("frequency"), "frequency"))
 
 
+ACCESS_FREQUENCY = """WITH t AS (SELECT user_id AS id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events), g AS (SELECT id, ts, (epoch_us(ts) - epoch_us(was)) / 1e6 AS g FROM t WHERE ts > was),
+r AS (SELECT id, 3600 / g AS f, row_number() OVER (PARTITION BY id ORDER BY ts) AS k, count(*) OVER (PARTITION BY id) AS n FROM g), f AS (SELECT id, sum(f * pow(0.7, n - k) * CASE WHEN k = 1 THEN 1 ELSE 0.3 END) AS f FROM r GROUP BY 1)
+SELECT DISTINCT user_id AS id, round(coalesce(f, 0), 6) AS frequency FROM events LEFT JOIN f ON f.id = user_id"""
+
+
 def tiers(spark, d):
     m = T.episodes(spark, d).withColumn("activation", F.col("value") % 1).withColumn("tier", U.tier_for(F.col("activation")))
     return U.tier_statistics(m).select("tier", "n", _r(F.col("confidence"), "confidence"), _r(F.col("activation"), "activation"))
@@ -346,7 +352,7 @@ _ALL = {
     "multi_cue": (multi_cue, MULTI_CUE), "result_algebra": (result_algebra, RESULT_ALGEBRA), "result_intervals": (result_intervals, RESULT_INTERVALS), "noisy_or_paths": (noisy_or, NOISY_OR),
     "evidence_aggregate": (evidence, EVIDENCE), "evidence_odds": (odds_fold, ODDS_FOLD), "uncertainty_total": (uncertainty, UNCERTAINTY), "uncertainty_summary": (uncertainty_summary, UNCERTAINTY_SUMMARY),
     "calibration_bins": (calibration, CALIBRATION), "calibration_errors": (calibration_errors, CALIBRATION_ERRORS), "calibrated_confidence": (calibrated, CALIBRATED), "access_windows": (access_windows, ACCESS),
-    "access_frequency": (access_frequency, None), "tier_statistics": (tiers, TIERS), "tier_migration": (migration, MIGRATION), "dedup_actions": (dedup_actions, DEDUP_ACTIONS), "log_replay": (log_replay, LOG_REPLAY),
+    "access_frequency": (access_frequency, ACCESS_FREQUENCY), "tier_statistics": (tiers, TIERS), "tier_migration": (migration, MIGRATION), "dedup_actions": (dedup_actions, DEDUP_ACTIONS), "log_replay": (log_replay, LOG_REPLAY),
     "space_list": (space_list, SPACES), "forget": (forgotten, FORGOTTEN), "query_costs": (query_costs, QUERY_COSTS), "recognise": (recognise, RECOGNISE), "concept_confidence": (concept_confidence, CONCEPT_CONFIDENCE),
 }
 QUERIES = {k: f for k, (f, _) in _ALL.items()}

@@ -228,6 +228,12 @@ def hash_embedding(spark, d):
     return e.select(F.col("item_id").alias("id"), *(_r(F.col("v")[i], f"v{i}") for i in (0, 5, 15)))
 
 
+HASH_EMBEDDING = """WITH p AS (SELECT item_id AS id, text AS t, greatest(CAST(ceil(length(text) / 8.0) AS INTEGER), 1) AS n FROM benchmark),
+c AS (SELECT *, list_transform(range(n), lambda c: CAST(coalesce(list_sum(list_transform(string_split(substr(t, CAST(c * 8 + 1 AS BIGINT), 8), ''), lambda x: ascii(x))), 0) AS BIGINT)) AS codes FROM p),
+r AS (SELECT id, list_transform(range(16), lambda j: ((codes[j % n + 1] * (j + 1)) % 1000) / 1000.0::DOUBLE) AS v FROM c), s AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM r)
+SELECT id, round(v[1] / l, 6) AS v0, round(v[6] / l, 6) AS v5, round(v[16] / l, 6) AS v15 FROM s"""
+
+
 def query_expansion(spark, d):
     words = T.read(spark, d, "part").select(F.lower("p_type").alias("query")).distinct()
     lex = T.read(spark, d, "part").select(F.col("p_type").alias("term"), F.col("p_brand").alias("variant"), (0.2 + 0.6 * (F.col("p_size") / 50)).alias("confidence"))
@@ -246,5 +252,5 @@ QUERIES = {
 ORACLES = {
     "conf_algebra": CONF_ALGEBRA, "conf_interval": CONF_INTERVAL, "conf_memory": CONF_MEMORY, "conf_diversity_weighted": DIVERSITY, "decay_curves": DECAY_CURVES, "decay_blends": DECAY_BLENDS,
     "ripple_detection": RIPPLES, "recall_temporal": RECALL_TEMPORAL, "recall_context": RECALL_CONTEXT, "recall_semantic": RECALL_SEMANTIC, "recall_constraints": RECALL_CONSTRAINTS,
-    "memory_completeness": COMPLETENESS, "vector_functions": VECTOR_FUNCTIONS, "lsh_quantise": LSH_QUANTISE, "grid_codes": GRID, "query_expansion": QUERY_EXPANSION,
+    "memory_completeness": COMPLETENESS, "vector_functions": VECTOR_FUNCTIONS, "lsh_quantise": LSH_QUANTISE, "grid_codes": GRID, "query_expansion": QUERY_EXPANSION, "hash_embedding": HASH_EMBEDDING,
 }

@@ -31,27 +31,30 @@ def sequence_gaps(observations: DataFrame) -> DataFrame:
     return observations.withColumn("status", F.when(F.col("seq") == expected, "ok").when(F.col("seq") < expected, "duplicate").otherwise("gap"))
 
 
-def validate_sequences(stream: DataFrame) -> DataFrame:
-    """Streaming form, with a state per session that ends after five idle minutes."""
+def validate_sequences(stream: DataFrame, when: str = "event_time", late: str = "10 minutes") -> DataFrame:
+    """Streaming form, with a state per session that ends five minutes (of event time) after the session's last observation, as soon as
+    the watermark has passed. Event time needs no batches of its own: a stream without new files rests."""
 
     def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
+        last, latest = state.get if state.exists else (None, 0)
         out = []
         for f in frames:
-            for r in f.sort_values("seq").itertuples(index=False):
-                want = r.seq if last is None else last + 1
-                out.append((key[0], r.seq, "ok" if r.seq == want else "duplicate" if r.seq < want else "gap"))
-                last = r.seq if last is None else max(last, r.seq)
+            latest = max(latest, int(f[when].max().timestamp() * 1000))
+            for seq in f["seq"].sort_values().tolist():
+                want = seq if last is None else last + 1
+                out.append((key[0], seq, "ok" if seq == want else "duplicate" if seq < want else "gap"))
+                last = seq if last is None else max(last, seq)
         if last is not None:
-            state.update((int(last),))
-            state.setTimeoutDuration(SESSION_IDLE_MS)
+            state.update((int(last), latest))
+            state.setTimeoutTimestamp(max(latest + SESSION_IDLE_MS, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "seq", "status"])
 
     kind = stream.schema["session_id"].dataType.simpleString()
-    return stream.groupBy("session_id").applyInPandasWithState(check, f"session_id {kind}, seq long, status string", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = stream.withWatermark(when, late).select("session_id", "seq", when)
+    return own.groupBy("session_id").applyInPandasWithState(check, f"session_id {kind}, seq long, status string", "last long, latest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling(df: DataFrame, minutes: int = 60, late: str | None = None, when: str = "event_time", by: tuple[str, ...] = ("what",)) -> DataFrame:
@@ -88,11 +91,19 @@ def by_priority(batch: DataFrame) -> DataFrame:
     return batch.orderBy(rank, "seq")
 
 
-def admitted(batch: DataFrame) -> DataFrame:
-    """Of each priority what its queue holds, the earliest first."""
-    w = Window.partitionBy("priority").orderBy("arrival")
+def admitted(batch: DataFrame, parts: int = 32) -> DataFrame:
+    """Of each priority what its queue holds, the earliest first (by arrival, then id). Ranks are taken in `parts` slices of a priority, each
+    a range of arrivals, on top of the counts of the slices before: no task sees a whole priority."""
     most = F.when(F.col("priority") == "high", CAPACITY["high"]).when(F.col("priority") == "normal", CAPACITY["normal"]).otherwise(CAPACITY["low"])
-    return batch.withColumn("_n", F.row_number().over(w)).withColumn("admitted", F.col("_n") <= most).drop("_n")
+    ends = batch.agg(F.min("arrival"), F.max("arrival")).first()
+    width = max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // parts))
+    sliced = batch.withColumn("_slice", F.floor((F.col("arrival") - F.lit(ends[0] or 0)) / width).cast("int"))
+    counts = sliced.groupBy("priority", "_slice").agg(F.count(F.lit(1)).alias("_own"))
+    past = F.coalesce(F.sum("_own").over(Window.partitionBy("priority").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = F.broadcast(counts.select(F.col("priority").alias("_p"), F.col("_slice").alias("_s"), past.alias("_past")))
+    within = F.row_number().over(Window.partitionBy("priority", "_slice").orderBy("arrival", "id"))
+    met = sliced.withColumn("_n", within).join(counts, (F.col("priority").eqNullSafe(F.col("_p"))) & (F.col("_slice") == F.col("_s")))
+    return met.withColumn("admitted", F.col("_n") + F.col("_past") <= most).drop("_n", "_past", "_p", "_s", "_slice")
 
 
 def pressure_state(pressure: Column) -> Column:
