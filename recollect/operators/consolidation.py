@@ -131,8 +131,8 @@ def pattern_strength(members: DataFrame, key: str = "cluster") -> DataFrame:
     return met.groupBy(key).agg(F.avg(V.cosine(F.col("embedding"), F.col("centroid"))).alias("strength"), F.count(F.lit(1)).alias("n"), F.min("when").alias("first"), F.max("when").alias("last"), F.first("centroid").alias("centroid"), F.array_sort(F.collect_set("id")).alias("source_episodes"))
 
 
-def coherence(members: DataFrame, key: str = "cluster", vector: str = "embedding", parts: int = 8) -> DataFrame:
-    """key, coherence: mean neural similarity of all ordered pairs at no distance in time, by blocks of the group."""
+def coherence(members: DataFrame, key: str = "cluster", vector: str = "embedding", rows: int = 2048) -> DataFrame:
+    """key, coherence: mean neural similarity of all ordered pairs at no distance in time, by blocks of the group of about `rows` members."""
     ship(members.sparkSession)
     kind = members.schema[key].dataType.simpleString()
 
@@ -148,6 +148,8 @@ def coherence(members: DataFrame, key: str = "cluster", vector: str = "embedding
                 out.append((getattr(r, key), float((1 / (1 + np.exp(-10 * (x @ y.T - 0.5)))).sum()), len(x) if r.sa == r.sb else 0))
             yield pd.DataFrame(out, columns=[key, "total", "own"])
 
+    largest = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    parts = -(-largest // rows)
     salted = members.select(key, F.col(vector).alias("v"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("_salt"))
     packed = salted.groupBy(key, "_salt").applyInPandas(lambda k, pdf: pack(pdf).assign(salt=k[1]), f"{key} {kind}, n long, vectors binary, width int, salt int")
     a = packed.select(key, F.col("vectors").alias("va"), F.col("salt").alias("sa"), "width")

@@ -129,10 +129,10 @@ def ivf_join(queries: DataFrame, corpus: DataFrame, k: int = 10, lists: int = 64
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def similarity_links(df: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", by: list[str] | None = None, digits: int = 6, parts: int = 8) -> DataFrame:
+def similarity_links(df: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", by: list[str] | None = None, digits: int = 6) -> DataFrame:
     """a, b (a < b), score of the rows from the threshold on; within the groups of `by` if given, else over all, block by block.
 
-    A group is dealt out to `parts` blocks, which meet two by two: take more where groups are large."""
+    Groups are dealt out to as many parts as the largest needs for parts of BLOCK rows; parts meet two by two."""
     ship(df.sparkSession)
     keys = by or []
 
@@ -152,6 +152,8 @@ def similarity_links(df: DataFrame, threshold: float, key: str = "id", vector: s
         return pd.DataFrame(head | {"ids": [pdf["k"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "width": [m.shape[1]]})
 
     if keys:
+        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+        parts = -(-largest // BLOCK)
         salted = df.where(F.col(vector).isNotNull()).select(*keys, F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).withColumn("_salt", F.pmod(F.xxhash64("k"), F.lit(parts)))
         kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
         packed = salted.groupBy(*keys, "_salt").applyInPandas(grouped, f"{kinds}, ids binary, vectors binary, width int")
