@@ -124,6 +124,17 @@ def mean_vector(df, keys: list[str], vector: str = "embedding", weight: Column |
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias(into))
 
 
+def kahan_sum(a: Column) -> Column:
+    """The sum of an array of doubles, with what each addition loses carried on."""
+
+    def step(s: Column, x: Column) -> Column:
+        y = x.cast("double") - s["lost"]
+        t = s["sum"] + y
+        return F.struct(t.alias("sum"), ((t - s["sum"]) - y).alias("lost"))
+
+    return F.aggregate(a, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost")), step, lambda s: s["sum"])
+
+
 def matrix(series) -> np.ndarray:
     """A pandas column of vectors as rows of doubles."""
     return np.stack([np.asarray(v, np.float64) for v in series]) if len(series) else np.zeros((0, 1))

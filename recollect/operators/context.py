@@ -198,3 +198,21 @@ def compatible(model: Column, dim: Column, other_model: Column, other_dim: Colum
 
 def unit(df: DataFrame, vector: str = "embedding") -> DataFrame:
     return df.withColumn(vector, V.normalise(F.col(vector)))
+
+
+# Metadata: a map column of strings ---------------------------------------------------------------------------------------
+
+
+def metadata_get(metadata: Column, key: str, default: str | None = None) -> Column:
+    return F.coalesce(F.try_element_at(metadata, F.lit(key)), F.lit(default))
+
+
+def metadata_has(metadata: Column, key: str) -> Column:
+    return F.coalesce(F.map_contains_key(metadata, key), F.lit(False))
+
+
+def metadata_set(metadata: Column, key: str, value) -> Column:
+    """metadata with a key set; a null map counts as empty."""
+    own = F.coalesce(metadata, F.create_map().cast("map<string,string>"))
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.map_concat(F.map_filter(own, lambda k, _: k != key), F.create_map(F.lit(key), value.cast("string")))

@@ -86,3 +86,9 @@ def blended(episodic: DataFrame, semantic: DataFrame, mode: str = "adaptive") ->
     said = F.when(both, conf * 1.15 * (1 + 0.1 * balance)).when(F.col("s").isNotNull(), conf * F.when(F.col("coherence") >= 0.7, 1.05).otherwise(0.9)).otherwise(conf)
     source = F.when(both, "both").when(F.col("s").isNotNull(), "semantic").otherwise("episodic")
     return met.select("id", C.clamp(said).alias("confidence"), source.alias("source"))
+
+
+def dual_search(episodes: DataFrame, concepts: DataFrame, vector, k: int = 20, digits: int = 6) -> DataFrame:
+    """kind, id, score: the k best of two tables of vectors together; of equals episodes last, as their kind sorts."""
+    score = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), F.round(V.cosine(F.col("embedding"), V.literal(vector)), digits).alias("score"))
+    return score(episodes, "episode").unionByName(score(concepts, "concept")).orderBy(F.desc("score"), "kind", "id").limit(k)

@@ -80,3 +80,9 @@ def tier_statistics(memories: DataFrame) -> DataFrame:
 
 def lru(memories: DataFrame, n: int) -> DataFrame:
     return memories.orderBy("last_access", "id").limit(n)
+
+
+def running_mean(df: DataFrame, by: str, order: list[str], value: str, into: str = "mean") -> DataFrame:
+    """df with the mean of value over a key's rows so far."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn(into, F.avg(value).over(w))

@@ -708,7 +708,57 @@ MIXED_BATCH = f"""WITH {_SQL_M}, y AS (SELECT id, v FROM m UNION ALL SELECT id +
 r AS (SELECT *, row_number() OVER (PARTITION BY op_id ORDER BY round(s, 6) DESC, id) AS n FROM s) SELECT op_id, id, round(s, 6) AS score FROM r WHERE n <= 3"""
 
 
+# Small parts ------------------------------------------------------------------------------------------------------------
+
+
+def compensated_sums(spark, d):
+    m = T.memories(spark, d)
+    return m.select("id", _r(V.kahan_sum(F.col("embedding")), "total", 9))
+
+
+COMPENSATED_SUMS = f"WITH {_SQL_M} SELECT id, round(list_sum(v), 9) AS total FROM m"
+
+
+def metadata(spark, d):
+    """A map of an event's fields: read, asked for, set."""
+    e = T.read(spark, d, "events")
+    m = F.when(F.col("event_id") % 5 != 0, F.map_from_arrays(F.array(F.lit("type"), F.lit("user")), F.array(F.col("event_type"), F.col("user_id").cast("string"))))
+    changed = O.metadata_set(m, "type", F.concat(F.lit("x"), F.col("event_id").cast("string")))
+    return e.select(F.col("event_id").alias("id"), O.metadata_get(m, "type", "none").alias("type"), O.metadata_has(m, "user").alias("known"), O.metadata_get(changed, "type").alias("changed"), F.size(changed).cast("long").alias("n"))
+
+
+METADATA = """SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_type ELSE 'none' END AS type, event_id % 5 <> 0 AS known, 'x' || event_id AS changed, CAST(CASE WHEN event_id % 5 <> 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM events"""
+
+
+def replay_means(spark, d):
+    e = T.episodes(spark, d)
+    return U.running_mean(e, "who", ["when", "id"], "confidence").select("id", _r(F.col("mean"), "mean"))
+
+
+REPLAY_MEANS = f"WITH {EPISODES} SELECT id, round(avg(a) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM e"
+
+
+def worker_shards(spark, d):
+    """How a user's observations are dealt out to eight workers."""
+    e = T.read(spark, d, "events")
+    return e.groupBy(T.shard_of(F.col("user_id"), 8).alias("worker")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("spaces"))
+
+
+WORKER_SHARDS = "SELECT CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT) % 8 AS worker, count(*) AS n, count(DISTINCT user_id) AS spaces FROM events GROUP BY 1"
+
+
+def space_recall(spark, d):
+    """Memories kept apart by space (here the concept), and the best of one of them."""
+    at = _folder(spark)
+    T.write_by_space(T.memories(spark, d).withColumn("space_id", F.concat(F.lit("s"), F.col("concept").cast("string"))), at)
+    return T.recall_in_space(spark, at, "s3", _QUERY, 0.0, 25).select("id", _r(F.col("score"), "score"))
+
+
+SPACE_RECALL = f"WITH {_SQL_Q}, {_SQL_M}, s AS (SELECT id, list_cosine_similarity(v, q) AS s FROM m, q WHERE concept = 3) SELECT id, round(s, 6) AS score FROM s WHERE s >= 0 ORDER BY s.s DESC, id LIMIT 25"
+
+
 _ALL = {
+    "compensated_sums": (compensated_sums, COMPENSATED_SUMS), "metadata": (metadata, METADATA), "replay_means": (replay_means, REPLAY_MEANS), "worker_shards": (worker_shards, WORKER_SHARDS), "space_recall": (space_recall, SPACE_RECALL),
     "tier_scan": (tier_scan, TIER_SCAN), "tier_recall": (tier_recall, TIER_RECALL), "cold_scan": (cold_scan, COLD_SCAN), "log_compaction": (log_compaction, LOG_COMPACTION), "backup_restore": (backup_restore, BACKUP_RESTORE),
     "generations": (generations, GENERATIONS), "migration_validated": (migration_validated, MIGRATION_VALIDATED), "migrated_episodes": (migrated_episodes, MIGRATED_EPISODES), "content_addresses": (content_addresses, CONTENT_ADDRESSES),
     "results_above": (results_above, RESULTS_ABOVE), "result_sets": (result_sets, RESULT_SETS), "path_diversity": (path_diversity, PATH_DIVERSITY), "budgets": (budgets, BUDGETS), "forgetting_curve": (forgetting_curve, FORGETTING_CURVE),

@@ -83,10 +83,8 @@ CENTROIDS = "SELECT label AS concept, round(avg(embedding[1]::DOUBLE), 6) AS x0,
 
 def dual_search(spark, d):
     """The 20 best of memories and concepts."""
-    q = V.literal(_QUERY)
-    a = T.memories(spark, d).select(F.lit("episode").alias("kind"), "id", _r(V.cosine(F.col("embedding"), q), "score"))
-    b = _concepts(spark, d).select(F.lit("concept").alias("kind"), F.col("concept").cast("long").alias("id"), _r(V.cosine(F.col("centroid"), q), "score"))
-    return a.unionByName(b).orderBy(F.desc("score"), "kind", "id").limit(20)
+    concepts = _concepts(spark, d).select(F.col("concept").alias("id"), F.col("centroid").alias("embedding"))
+    return P.dual_search(T.memories(spark, d), concepts, _QUERY, 20)
 
 
 _SQL_C = "c AS (SELECT concept, list(x ORDER BY i) AS v FROM (SELECT label AS concept, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1)"

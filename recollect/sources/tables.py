@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -148,3 +148,19 @@ def spaces(memories: DataFrame) -> DataFrame:
 
 def best(df: DataFrame, n: int) -> DataFrame:
     return ranked(df, limit=n)
+
+
+def shard_of(space: Column, workers: int) -> Column:
+    """Which of so many workers a space belongs to: the same one wherever it is asked."""
+    return F.conv(F.substring(F.md5(space.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % workers
+
+
+def write_by_space(memories: DataFrame, path: str, mode: str = "append") -> None:
+    """Memories of each space apart: what is asked of one space reads that space alone."""
+    memories.write.mode(mode).partitionBy("space_id").parquet(path)
+
+
+def recall_in_space(spark: SparkSession, path: str, space: str, vector, threshold: float, limit: int) -> DataFrame:
+    """The best of one space; partition pruning reads no other."""
+    own = spark.read.parquet(path).where(F.col("space_id") == space)
+    return ranked(own.withColumn("score", V.cosine(F.col("embedding"), V.literal(vector))).where(F.col("score") >= threshold), limit=limit)
