@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.confidence import _c, clamp
+from ..store import ship
 
 
 def _micros(c: str) -> Column:
@@ -26,28 +31,57 @@ def within(left: DataFrame, right: DataFrame, hours: float, by: list[str] | None
     return met.where((F.col("_rt") < F.col("_lt")) & (F.col("_rt") >= F.col("_lt") - size)).select("l", "r", ((F.col("_lt") - F.col("_rt")) / 3.6e9).alias("hours"))
 
 
-def _normed(episodes: DataFrame, by: list[str] | None) -> DataFrame:
-    """What a pair needs, with each vector's norm worked out once."""
-    return episodes.select("id", "when", *(by or []), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), V.norm(F.col("embedding")).alias("norm"))
-
-
-def _similarity() -> Column:
-    return F.round(V.cosine(F.col("l.embedding"), F.col("r.embedding"), F.col("l.norm"), F.col("r.norm")), 6)
+#: Rows of a block of one time bucket.
+BLOCK = 2048
+
+
+def _interference(episodes: DataFrame, hours: float, least: float, by: list[str] | None, of_later: bool) -> DataFrame:
+    """id, n, m: for each later (or else earlier) episode how many others of similarity `least` or more lie in its window before (after)
+    it, and the mean of (s - .6)/.4 over them.
+
+    Time is cut into buckets as long as the window, buckets into blocks of about BLOCK rows; blocks of a bucket meet those of the bucket
+    and of the one before it. A pair of blocks is one matrix product, of which only a row for each episode goes on. Unit vectors stay
+    packed, so that no pair of rows is ever made."""
+    ship(episodes.sparkSession)
+    size, keys = int(hours * 3.6e9), by or []
+    rows = episodes.where(F.col("embedding").isNotNull()).select(*keys, F.col("id").cast("long").alias("k"), _micros("when").alias("t"), F.col("embedding").alias("v")).withColumn("bucket", F.floor(F.col("t") / size))
+    largest = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(-(-largest // BLOCK))))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = V.matrix(pdf["v"])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+        head = {c: [pdf[c].iloc[0]] for c in [*keys, "bucket", "part"]}
+        return pd.DataFrame(head | {"ids": [pdf["k"].to_numpy(np.int64).tobytes()], "times": [pdf["t"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()]})
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                li, ri, lt, rt = (np.frombuffer(x, np.int64) for x in (r.l_ids, r.r_ids, r.l_times, r.r_times))
+                s = np.round(np.frombuffer(r.l_vectors).reshape(len(li), -1) @ np.frombuffer(r.r_vectors).reshape(len(ri), -1).T, 6)
+                hit = (rt[None, :] < lt[:, None]) & (rt[None, :] >= lt[:, None] - size) & (s >= least)
+                axis, ids = (1, li) if of_later else (0, ri)
+                n = hit.sum(axis=axis)
+                some = n > 0
+                yield pd.DataFrame({"id": ids[some], "n": n[some], "total": np.where(hit, (s - 0.6) / 0.4, 0).sum(axis=axis)[some]})
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "bucket", "part"])
+    packed = rows.groupBy(*keys, "bucket", "part").applyInPandas(pack, f"{kinds}, ids binary, times binary, vectors binary")
+    left = packed.select(*keys, F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *(F.col(c).alias(f"l_{c}") for c in ("ids", "times", "vectors")))
+    right = packed.select(*keys, "bucket", *(F.col(c).alias(f"r_{c}") for c in ("ids", "times", "vectors")))
+    met = left.join(right, [*keys, "bucket"]).drop(*keys, "bucket").mapInPandas(meet, "id long, n long, total double")
+    return met.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("m"))
 
 
 def proactive(episodes: DataFrame, hours: float = 6.0, least: float = 0.7, by: list[str] | None = None, each: float = 0.05, most: float = 0.3) -> DataFrame:
     """id, n, magnitude: earlier similar episodes within the window interfere, min(.05 n, .3)."""
-    own = _normed(episodes, by)
-    pairs = within(own, own, hours, by).where(_similarity() >= least)
-    return pairs.groupBy(F.col("l.id").alias("id")).agg(F.count(F.lit(1)).alias("n")).withColumn("magnitude", F.least(each * F.col("n"), F.lit(most)))
+    return _interference(episodes, hours, least, by, True).select("id", "n", F.least(each * F.col("n"), F.lit(most)).alias("magnitude"))
 
 
 def retroactive(episodes: DataFrame, hours: float = 24.0, least: float = 0.6, by: list[str] | None = None, most: float = 0.25) -> DataFrame:
     """id, n, magnitude of the later similar episodes' interference: min(.15 * mean((s - .6)/.4) * sqrt n, .25)."""
-    own = _normed(episodes, by)
-    pairs = within(own, own, hours, by).withColumn("s", _similarity()).where(F.col("s") >= least)
-    by_id = pairs.groupBy(F.col("r.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("s") - 0.6) / 0.4).alias("m"))
-    return by_id.select("id", "n", F.least(0.15 * F.col("m") * F.sqrt("n"), F.lit(most)).alias("magnitude"))
+    return _interference(episodes, hours, least, by, False).select("id", "n", F.least(0.15 * F.col("m") * F.sqrt("n"), F.lit(most)).alias("magnitude"))
 
 
 def apply_interference(confidence, magnitude) -> Column:

@@ -4,6 +4,7 @@ Episode columns used where they apply: id, embedding, what, where, when, who, co
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -66,6 +67,11 @@ def by_embedding(episodes: DataFrame, cue: EmbeddingCue) -> DataFrame:
 
 
 def by_content(episodes: DataFrame, cue: SemanticCue) -> DataFrame:
+    """Only texts with a word of the cue are split and scored: without one the score is 0 (a cue without words, or a threshold below 0,
+    scores all)."""
+    needed = [re.escape(w) for w in cue.content.lower().split()]
+    if needed and cue.threshold >= 0:
+        episodes = episodes.where(F.lower("what").rlike("|".join(needed)))
     scored = episodes.withColumn("score", X.semantic_similarity(cue.content, F.col("what")))
     return ranked(scored.where(F.col("score") > cue.threshold), limit=cue.limit)
 
