@@ -7,11 +7,11 @@ collisions. Names travel to their blocks along a 64-bit key, and every round cou
 (else the round is done again with another seed), so that the key is a one-to-one stand-in for the block.
 
 Everything is DataFrame operations. A key held by a third of all rows costs nothing: blocks and pairs are reduced to distinct
-ones before the shuffle, and names come back by a join whose hot partitions Spark can split.
+ones before the shuffle, and names come back by joins of written tables, whose hot partitions Spark can split.
 
-Defined cases: null text equals empty text; rows that repeat a doc_id are rows of their own, all with that doc_id; a null
-doc_id sorts after all others when the keeper is chosen; an empty table gives an empty table; other columns pass through
-`keep_first`, whatever their names.
+Defined cases: null text equals empty text; of the rows of a group the one of the smallest doc_id is kept (a null doc_id after all
+others), and of several such rows any one, as they are alike in doc_id and text but for white space; an empty table gives an empty
+table; other columns pass through `keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, keep, text_of
+from .common import forget, keep, only, text_of
 
-BLOCK = 16384
+BLOCK = 4096
 
 
 def normalised(text: str = "text") -> Column:
@@ -53,54 +53,53 @@ def _block_names(texts: DataFrame, size: int, seed: int) -> tuple[DataFrame, int
 
 
 def identities(docs: DataFrame, text: str = "text", block: int = BLOCK, seed: int = 1) -> DataFrame:
-    """doc_key, identity for each distinct (doc_id, normalised text) of docs, where docs has a doc_id.
-
-    doc_key is a struct of doc_id, and the text's length and SHA-256, which tell apart rows that share a doc_id."""
-    texts = docs.select("doc_id", normalised(text).alias("t"))
+    """row (a number made here), doc_id, raw (xxhash64 of the text as it is), sha (of the normalised text), depth, name for each row of
+    docs, where docs has a doc_id. Names of different depths stand for texts of different block counts: depth and name together are
+    the identity of the normalised text."""
+    texts = docs.select("doc_id", F.xxhash64(text_of(text)).alias("raw"), normalised(text).alias("t"))
     names, seed = _block_names(texts, block, seed)
     sha = F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("sha")
     keys = F.transform(blocks_of(F.col("t"), block), lambda b: F.xxhash64(F.lit(seed), b)).alias("keys")
-    rows = keep(texts.select("doc_id", sha, keys))
-    parts = rows.dropDuplicates(["doc_id", "sha"]).select("doc_id", "sha", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
-    level = keep(parts.join(names, "key").select("doc_id", "sha", "n", "pos", "name"))
-    done = level.where("n = 1").select("doc_id", "sha", F.lit(0).alias("depth"), "name")
-    depth = 0
+    rows = keep(texts.select("doc_id", "raw", sha, keys).withColumn("row", F.monotonically_increasing_id()))
+    parts = rows.select("row", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key"))
+    level = keep(parts.join(names, "key").select("row", "n", "pos", "name"))
+    depth, levels = 0, [level]
+    done = level.where("n = 1").select("row", F.lit(0).alias("depth"), "name")
     level = level.where("n > 1")
     while not level.isEmpty():
         depth += 1
-        pairs = level.groupBy("doc_id", "sha", "n", F.expr("pos div 2").alias("pos")).agg(
-            F.max(F.expr("if(pos % 2 = 0, name, null)")).alias("a"), F.coalesce(F.max(F.expr("if(pos % 2 = 1, name, null)")), F.lit(-1)).alias("b")
-        )
-        pairs = keep(pairs.select("doc_id", "sha", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "a", "b"))
-        level = keep(pairs.join(keep(named(pairs, ["a", "b"])), ["a", "b"]).select("doc_id", "sha", "n", "pos", "name"))
-        done = done.unionByName(level.where("n = 1").select("doc_id", "sha", F.lit(depth).alias("depth"), "name"))
+        left, right = (F.max(F.when(F.col("pos") % 2 == k, F.col("name"))) for k in (0, 1))
+        pairs = level.groupBy("row", "n", F.expr("pos div 2").alias("pos")).agg(left.alias("a"), F.coalesce(right, F.lit(-1)).alias("b"))
+        pairs = keep(pairs.select("row", F.expr("(n + 1) div 2").cast("int").alias("n"), "pos", "a", "b"))
+        again = keep(named(pairs, ["a", "b"]))
+        levels.append(keep(pairs.join(again, ["a", "b"]).select("row", "n", "pos", "name")))
+        forget(pairs, again)
+        level = levels[-1]
+        done = done.unionByName(level.where("n = 1").select("row", F.lit(depth).alias("depth"), "name"))
         level = level.where("n > 1")
-    # Names of different depths stand for texts of different block counts: depth and name together are the identity.
-    return rows.select("doc_id", "sha").join(
-        done.withColumnsRenamed({"doc_id": "_id", "sha": "_sha"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
-    ).select("doc_id", "sha", "depth", "name")
+    out = keep(rows.select("row", "doc_id", "raw", "sha").join(done, "row"))
+    forget(names, rows, *levels)
+    return out
+
+
+def judged(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """One row for each row of docs: doc_id, raw, keep_id, group_size, kept, text_sha256."""
+    rows = identities(docs, text, block)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    # Written, so that the join has a scan on either side and Spark can split a hot name.
+    sizes = keep(rows.groupBy("depth", "name").agg(first, F.count(F.lit(1)).alias("group_size")))
+    out = rows.join(sizes, ["depth", "name"])
+    return out.select("doc_id", "raw", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def groups(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256. Of equal rows (same doc_id too) one is kept."""
-    named_rows = keep(identities(docs, text, block))
-    sizes = named_rows.groupBy("depth", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    out = named_rows.join(sizes, ["depth", "name"])
-    return out.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
-    )
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    return judged(docs, text, block).drop("raw")
 
 
 def keep_first(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """docs without the rows whose normalised text some row with a smaller doc_id has; of rows alike in both, one stays."""
-    own = docs.columns
-    sha, nth = fresh(docs, "sha", "nth")
-    kept = groups(docs.select("doc_id", F.col(text).alias("text")), "text", block).where("kept").select(
-        F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")
-    ).distinct()
-    marked = docs.withColumn(sha, F.sha2(normalised(text).cast("binary"), 256))
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked[sha] == kept["_keep_sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", sha]).select(*(F.col(f"`{c}`") for c in own))
+    """docs with one row of each group of equal texts, with its own columns: that of the smallest doc_id."""
+    return only(docs, judged(docs.select("doc_id", F.col(text).alias("text")), "text", block), text)
 
 
 def op10_exact_dedup(docs: DataFrame) -> DataFrame:
