@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recollect.llm import exact, near, packing, pii, quality
-from recollect.llm.common import keep
+from recollect.llm.common import forget, keep
 from recollect.llm.registry import vocabulary
 
 
@@ -50,7 +50,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = keep(docs)
+            forget(before)
     return docs
