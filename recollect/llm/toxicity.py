@@ -3,14 +3,16 @@
 1. Voters. From labelled training rows: a lexicon voter for each word, and each word start of four or five letters, that stands
    (almost) only in toxic texts; pattern voters over the form of a text; a voter for clean that speaks where no lexicon voter does.
 2. Label model. A generative model of the votes given a hidden label: EM estimates the class share and each voter's rates of
-   voting per label, starting from the labels; correlations of voters given the label are estimated from the posteriors, and a
+   voting per label, starting from the labels, which stay in as a voter of known accuracy; correlations of voters given the label are estimated from the posteriors, and a
    voter counts less the more it says what others say.
 3. Classifier. A logistic regression is trained on the posteriors, and scores every whole text by its own features.
 
-The fit takes at most MAX_TRAIN labelled rows (a documented bound; the ones whose hashed doc_id comes first); scoring reads all.
+The fit takes at most MAX_TRAIN labelled rows of MAX_TRAIN_CHARS characters (documented bounds; the ones whose hashed doc_id comes
+first); scoring reads all.
 
 Defined cases: a null text is an empty text and gets the score of a text without any sign; labels that are null or not 0 or 1 are
-left out of the fit; without any toxic row to learn from all scores are the (smoothed) share of toxic rows; equal texts score alike;
+left out of the fit; of rows that share a doc_id one text is fitted on; only doc_id, text and toxic are read, whatever other columns
+there are; without any toxic row to learn from all scores are the (smoothed) share of toxic rows; equal texts score alike;
 an empty table gives an empty table.
 """
 
@@ -23,14 +25,20 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ship, text_of
+from .words import runs
 
-MAX_TRAIN = 8000
+#: The fit takes so many labelled rows and so many characters of them at most.
+MAX_TRAIN, MAX_TRAIN_CHARS = 8000, 64_000_000
+#: A size of the model: so many signs have a voter of their own at most, those that stand in the most toxic texts.
 MAX_LEXICON = 400
+#: How often a training label is taken to be right.
+LABEL_ACCURACY = 0.95
 _WORD = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5)
 
@@ -74,13 +82,14 @@ class LabelModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     correlations: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
 
-    def posterior(self, fires: np.ndarray) -> np.ndarray:
-        """P(toxic | votes) for rows of 0/1: voters that do not fire speak too, as evidence of absence."""
+    def posterior(self, fires: np.ndarray, said: np.ndarray | float = 0.0) -> np.ndarray:
+        """P(toxic | votes) for rows of 0/1: voters that do not fire speak too, as evidence of absence. said: log odds of another, better
+        known voter, as the rows' own labels are."""
         if not self.rates.size:
-            return np.full(len(fires), self.share)
+            return 1 / (1 + np.exp(-(math.log(self.share / (1 - self.share)) + np.zeros(len(fires)) + said)))
         on = np.log(self.rates[:, 1] / self.rates[:, 0]) * self.weights
         off = np.log((1 - self.rates[:, 1]) / (1 - self.rates[:, 0])) * self.weights
-        z = math.log(self.share / (1 - self.share)) + fires @ on + (1 - fires) @ off
+        z = math.log(self.share / (1 - self.share)) + fires @ on + (1 - fires) @ off + said
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def accuracy(self) -> np.ndarray:
@@ -89,8 +98,8 @@ class LabelModel:
         return p[:, 1] / p.sum(axis=1)
 
 
-def fit_label_model(fires: np.ndarray, first: np.ndarray, rounds: int = 20) -> LabelModel:
-    """EM from the posteriors `first`. fires: rows by voters, 0 or 1."""
+def fit_label_model(fires: np.ndarray, first: np.ndarray, rounds: int = 20, said: np.ndarray | float = 0.0) -> LabelModel:
+    """EM from the posteriors `first`. fires: rows by voters, 0 or 1; said: as in LabelModel.posterior."""
     n, m = fires.shape
     model, p = LabelModel(), first.astype(float)
     model.weights = np.ones(m)
@@ -106,7 +115,7 @@ def fit_label_model(fires: np.ndarray, first: np.ndarray, rounds: int = 20) -> L
             model.correlations = cov / np.outer(sd, sd)
             own = np.where(np.abs(model.correlations) > 0.2, np.abs(model.correlations), 0)
             model.weights = 1 / own.sum(axis=1).clip(1)
-        new = model.posterior(fires)
+        new = model.posterior(fires, said)
         if np.abs(new - p).max(initial=0) < 1e-6:
             break
         p = new
@@ -164,13 +173,15 @@ def fit(rows: Sequence[tuple[str | None, int]]) -> Toxicity:
         fires[i, hits] = 1
         fires[i, len(lexicon) : -1] = [f[k] for k in PATTERNS]
         fires[i, -1] = not hits
-    model = fit_label_model(fires, (toxic * len(rows) + 0.5) / (len(rows) + 1) if len(rows) else toxic)
+    # The labels themselves are a voter of known accuracy: without it, EM may settle on another pair of classes than the labels'.
+    said = (2 * toxic - 1) * math.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
+    model = fit_label_model(fires, (toxic * len(rows) + 0.5) / (len(rows) + 1) if len(rows) else toxic, said=said)
     out = Toxicity(lexicon, model, np.zeros(len(PATTERNS) + 5))
     share = (toxic.sum() + 0.5) / (len(rows) + 1)
     out.weights[-1] = math.log(share / (1 - share))
     if len(rows) and 0 < toxic.sum() < len(rows):
         x = np.array([out.features(o & out._known, f) for o, f in zip(own, forms, strict=True)])
-        out.weights = fit_logistic(x, model.posterior(fires))
+        out.weights = fit_logistic(x, model.posterior(fires, said))
     return out
 
 
@@ -178,23 +189,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> list[tuple[str | None, int]]:
-    """At most `most` labelled rows that are not held out; which ones is told by doc_id alone."""
-    wanted = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), "toxic")
-    wanted = wanted.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.join(F.broadcast(wanted), docs["doc_id"] == F.col("_id")).select("doc_id", "text", "toxic")
-    return [(r["text"], r["toxic"]) for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_chars: int = MAX_TRAIN_CHARS) -> list[tuple[str | None, int]]:
+    """At most `most` labelled rows that are not held out, of `most_chars` characters together; which ones is told by doc_id alone. Of
+    rows that share a doc_id one text is taken, the least, and the larger label."""
+    wanted = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"))
+    wanted = wanted.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(most)
+    own = docs.select(F.col("doc_id").alias("own_id"), F.col("text").alias("t"))
+    rows = own.join(F.broadcast(wanted), F.col("own_id") == F.col("id")).groupBy("id", "y").agg(F.min("t").alias("t"))
+    so_far = F.sum(F.length(F.coalesce("t", F.lit("")))).over(Window.orderBy(F.xxhash64("id"), "id"))  # over `most` rows
+    rows = rows.withColumn("chars", so_far).where(F.col("chars") <= most_chars)
+    return [(r["t"], r["y"]) for r in sorted(rows.toLocalIterator(), key=lambda r: r["id"])]
 
 
 def score_documents(docs: DataFrame, model: Toxicity, text: str = "text", into: str = "toxicity") -> DataFrame:
     """docs with the score of each whole text."""
     ship(docs.sparkSession)
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series([model.score(t) for t in b], dtype="float64")
+            yield pa.array([model.score(t) for lo, hi in runs(b) for t in b.slice(lo, hi - lo).to_pylist()], pa.float64())
 
-    return docs.withColumn(into, F.pandas_udf(score, "double")(text_of(text)))
+    score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(into, F.arrow_udf(score, "double")(text_of(text)))
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
