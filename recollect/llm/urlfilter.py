@@ -3,7 +3,8 @@
 Glob rules (`*` stands for any characters) are packed one after the other into the bits of several 64-bit words, as in Shift-And:
 a step shifts all words by one, masks them by the character read, and keeps the states that a `*` loops on. All patterns run at
 once over a URL, and all URLs of a batch run side by side as rows of a numpy array. A URL is canonical: "." + host in lower
-case + "\\x01" + path, so that a pattern can tell hosts from paths and a host from its subdomains.
+case + "\\x01" + path, so that a pattern can tell hosts from paths and a host from its subdomains; that character in a URL counts as
+"\\x02", which no pattern holds.
 
 Defined cases: a null URL or one without "://" has an empty host and path and fits no list rule; a path may be empty, which no
 rule with a path fits; an empty table gives an empty table; equal rows are judged alike; other columns pass through `keep_allowed`.
@@ -32,12 +33,16 @@ LIST_RULES = (
 
 #: Globs over canonical URLs that block what no list rule fits: advertising and tracking hosts, log-in and shop pages, files.
 BLOCK_GLOBS = (
-    "*.ads-*", "*.ads.*", "*.adserver.*", "*.track.*", "*.tracker.*", "*-track.*", "*.doubleclick.*", "*.click.*",
+    "*.ads-*\x01*", "*.ads.*\x01*", "*.adserver.*\x01*", "*.track.*\x01*", "*.tracker.*\x01*", "*-track.*\x01*", "*.doubleclick.*\x01*", "*.click.*\x01*",
     "*\x01*/login*", "*\x01*/signin*", "*\x01*/wp-admin*", "*\x01*/cart*", "*\x01*/checkout*",
     "*\x01*.exe", "*\x01*.zip", "*\x01*.apk", "*\x01*.jpg", "*\x01*.png", "*\x01*.mp4",
 )
 
 
+#: Bytes of a table of characters; a text of more than LONG characters goes by itself.
+TABLE, LONG = 4_000_000, 4096
+
+
 @dataclass(frozen=True)
 class Automaton:
     """Masks of W words for all patterns: see `compile_globs`."""
@@ -49,16 +54,29 @@ class Automaton:
     words: int
 
     def run(self, texts: Sequence[bytes]) -> np.ndarray:
-        """[texts, patterns]: whether a whole text fits a pattern."""
+        """[texts, patterns]: whether a whole text fits a pattern. Texts of about the same length go together, so that a table of
+        characters has TABLE bytes at most; texts longer than LONG go by themselves."""
         n = len(texts)
         size = np.fromiter(map(len, texts), np.int64, n)
         order = np.argsort(-size, kind="stable")
-        longest = int(size.max(initial=0))
+        state = np.empty((n, self.words), np.uint64)
+        at = 0
+        while at < n:
+            longest = int(size[order[at]])
+            upto = at + 1 if longest > LONG else min(n, at + max(1, TABLE // max(1, longest)))
+            own = order[at:upto]
+            state[own] = self._alone(texts[own[0]]) if longest > LONG else self._together([texts[i] for i in own], size[own])
+            at = upto
+        return ((state[:, self.accept // 64] >> (self.accept % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+    def _together(self, texts: Sequence[bytes], size: np.ndarray) -> np.ndarray:
+        """States after texts, the longest first, all side by side."""
+        n, longest = len(texts), int(size.max(initial=0))
         chars = np.zeros((n, longest), np.uint8)
-        for row, i in enumerate(order):
-            chars[row, : size[i]] = np.frombuffer(texts[i], np.uint8)
+        for row, t in enumerate(texts):
+            chars[row, : size[row]] = np.frombuffer(t, np.uint8)
         state = np.tile(self.start, (n, 1))
-        live = n - np.searchsorted(size[order][::-1], np.arange(longest), side="right")
+        live = n - np.searchsorted(size[::-1], np.arange(longest), side="right")
         one, top = np.uint64(1), np.uint64(63)
         for at in range(longest):
             k = live[at]
@@ -68,9 +86,15 @@ class Automaton:
             new &= self.step[chars[:k, at]]
             new |= old & self.loop
             state[:k] = new
-        out = np.empty((n, len(self.accept)), bool)
-        out[order] = (state[:, self.accept // 64] >> (self.accept % 64).astype(np.uint64)) & one
-        return out
+        return state
+
+    def _alone(self, text: bytes) -> np.ndarray:
+        """The state after one text, with all words as one number."""
+        number = lambda words: int.from_bytes(words.astype("<u8").tobytes(), "little")
+        step, loop, state = [number(w) for w in self.step], number(self.loop), number(self.start)
+        for c in text:
+            state = state << 1 & step[c] | state & loop
+        return np.frombuffer(state.to_bytes(8 * self.words, "little"), "<u8")
 
 
 def compile_globs(globs: Sequence[str]) -> Automaton:
@@ -122,13 +146,14 @@ def verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]] = LIST_RULES, bl
     patterns = [rule_glob(r) for _, r in ranked] + globs
 
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        plain = lambda x: x.replace("\x01", "\x02")
         auto = compile_globs(patterns)
         n_rules = len(ranked)
         for host, path in batches:
             rule = np.full(len(host), None, object)
             verdict = np.full(len(host), "allow", object)
             glob = np.full(len(host), None, object)
-            texts = [f".{h}\x01{p}".encode("utf-8", "replace") for h, p in zip(host, path, strict=True)]
+            texts = [f".{plain(h)}\x01{plain(p)}".encode("utf-8", "replace") for h, p in zip(host, path, strict=True)]
             for i in range(0, len(texts), 4096):
                 hit = auto.run(texts[i : i + 4096])
                 part = slice(i, i + 4096)
@@ -170,7 +195,7 @@ WITH p AS (SELECT page_id,
                   translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 r(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in LIST_RULES)}),
-x AS (SELECT page_id, host, path, '.' || host || '|' || path AS u,
+x AS (SELECT page_id, host, path, '.' || replace(host, '|', '!') || '|' || replace(path, '|', '!') AS u,
              (SELECT max_by(r.rule, length(r.rule)) FROM r
               WHERE ('.' || host) LIKE '%.' || split_part(r.rule, '/', 1) AND starts_with(path, substr(r.rule, instr(r.rule, '/')))) AS rule FROM p)
 SELECT page_id, host, path, x.rule, coalesce(r.verdict, CASE WHEN {" OR ".join(map(_sql_glob, BLOCK_GLOBS))} THEN 'block' ELSE 'allow' END) AS verdict
