@@ -6,9 +6,13 @@ upwards until one is missing. The probability of a token after another is the pa
 (add-one) probability. Filter segments are built where the counts meet, one task for several segments, and are as long as their
 own entries ask for.
 
-The filter and the table of single counts are broadcast if together they hold at most MAX_BROADCAST bytes, which is checked
-before anything is collected. Beyond, tokens meet their counts by joins, and pairs go to their filter segment and are probed there:
-the same probes of the same filter, and the same scores.
+The filter is one and the same at any size, and so are its probes and the scores; what the size decides is where a pair is probed.
+The filter and the table of single counts are broadcast if together they hold at most MAX_BROADCAST bytes, which is checked before
+anything is collected. Beyond, the filter stays where its segments lie, and pairs go to their segment and are probed there; tokens
+meet their counts by a join, but for the frequent ones (a thousandth of all tokens or more, so a thousand at most), which are
+broadcast, so that no token is a hot key.
+
+All probes of an entry fall into one block of 512 bits, a line of the processor's cache.
 
 Tokens are words between white space, A-Z in lower case, and one end after each document; the end also stands before the first.
 
@@ -23,16 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, ship, text_of
+from .common import forget, keep, ship, text_of
 from .near import _mix
-from .substring import word_hashes
+from .words import hash_each, runs, split_words, word_hashes
 
 MAX_BROADCAST = 256 * 1024 * 1024
 SEGMENT_BITS = 12
 BITS_PER_ENTRY, PROBES = 10, 6
+BLOCK_BITS = 512
+#: A token is frequent from one in so many on.
+FREQUENT = 1000
 #: Weight of the smoothing, in tokens.
 SMOOTHING = 4.0
 _FLUSH = 4_000_000
@@ -54,6 +62,21 @@ def pairs(h: np.ndarray) -> np.ndarray:
         return _mix(before * _U(0x9E3779B97F4A7C15) + h)
 
 
+class Run:
+    """The tokens of some texts, one after the other, an end after each: the end stands before the next text's first token."""
+
+    def __init__(self, texts: pa.Array):
+        at, codes, words = split_words(texts, lower=True)
+        self.distinct = np.append(hash_each(words), _END)
+        self.codes = np.insert(codes.astype(np.int64), at[1:], len(words))
+        self.first = at[:-1] + np.arange(len(texts))
+        self.size = np.diff(at) + 1
+
+    @property
+    def hashes(self) -> np.ndarray:
+        return self.distinct[self.codes]
+
+
 def level(count: np.ndarray) -> np.ndarray:
     """1 for a count of 1, 2 for 2 and 3, 3 for 4 to 7, and so on."""
     return np.floor(np.log2(count)).astype(np.int64) + 1
@@ -64,22 +87,26 @@ def counted_as(lv: np.ndarray) -> np.ndarray:
     return np.where(lv > 0, (2.0 ** (lv - 1) + 2.0**lv - 1) / 2, 0.0)
 
 
-def _probe(h: np.ndarray, lv, n_bits: np.ndarray) -> Iterator[np.ndarray]:
+def _places(h: np.ndarray, lv: int, n_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the block of (h, lv) begins, and a number that holds nine bits for each probe's place in it."""
     with np.errstate(over="ignore"):
-        x = _mix(h + np.asarray(lv, _U) * _U(0xD6E8FEB86659FD93))
-        step = _mix(x) | _U(1)
-        for i in range(PROBES):
-            yield (x + _U(i) * step) % n_bits
+        x = _mix(h + _U(lv) * _U(0xD6E8FEB86659FD93))
+        return (((x >> _U(32)) * (n_bits // _U(BLOCK_BITS))) >> _U(32)) * _U(BLOCK_BITS), _mix(x ^ _U(0x9E3779B97F4A7C15))
+
+
+def _probe(block: np.ndarray, mix: np.ndarray, i: int) -> np.ndarray:
+    return (block + ((mix >> _U(9 * i)) & _U(BLOCK_BITS - 1))).astype(np.int64)
 
 
 def build_segment(h: np.ndarray, count: np.ndarray) -> tuple[int, bytes]:
     """Bits and bytes of the filter of these pairs."""
     lv = level(count)
-    n_bits = max(64, -(-int(lv.sum()) * BITS_PER_ENTRY // 64) * 64)
+    n_bits = max(1, -(-int(lv.sum()) * BITS_PER_ENTRY // BLOCK_BITS)) * BLOCK_BITS
     bits = np.zeros(n_bits, bool)
     for q in range(1, int(lv.max(initial=0)) + 1):
-        for at in _probe(h[lv >= q], q, _U(n_bits)):
-            bits[at.astype(np.int64)] = True
+        block, mix = _places(h[lv >= q], q, _U(n_bits))
+        for i in range(PROBES):
+            bits[_probe(block, mix, i)] = True
     return n_bits, np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -89,9 +116,9 @@ class Model:
     def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, segments: list[tuple[int, int, bytes]]):
         self.words, self.counts, self.n, self.v = words, counts, n, v
         size = 1 << SEGMENT_BITS
-        self.n_bits = np.full(size, 64, _U)
+        self.n_bits = np.full(size, BLOCK_BITS, _U)
         self.start = np.zeros(size, np.int64)
-        data, at = [b"\0" * 8], 8
+        data, at = [b"\0" * (BLOCK_BITS // 8)], BLOCK_BITS // 8
         for seg, n_bits, raw in segments:
             self.n_bits[seg], self.start[seg] = n_bits, at
             data.append(raw)
@@ -105,35 +132,32 @@ class Model:
         return np.where(self.words[at] == h, self.counts[at], 0)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Levels of pairs, by probing upwards."""
+        """Levels of pairs, by probing upwards; an entry is given up at its first probe that fails."""
         out = np.zeros(len(h), np.int64)
+        seg = (h >> _U(64 - SEGMENT_BITS)).astype(np.int64)
+        start, n_bits = self.start[seg], self.n_bits[seg]
         live = np.arange(len(h))
         q = 0
         while len(live):
             q += 1
-            x = h[live]
-            seg = (x >> _U(64 - SEGMENT_BITS)).astype(np.int64)
-            hit = np.ones(len(live), bool)
-            start = self.start[seg]
-            for at in _probe(x, q, self.n_bits[seg]):
-                at = at.astype(np.int64)
-                hit &= (self.data[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-            live = live[hit]
+            block, mix = _places(h[live], q, n_bits[live])
+            for i in range(PROBES):
+                at = _probe(block, mix, i)
+                hit = (self.data[start[live] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
+                live, block, mix = live[hit], block[hit], mix[hit]
             out[live] = q
         return out
 
-    def score(self, texts: list[np.ndarray]) -> pd.DataFrame:
-        """Tokens, known tokens, base score and score of each text, given its tokens. The end of a text stands before the next
-        text's first token, as it should, so that the texts go through as one sequence."""
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        first = np.cumsum(size) - size
-        h = np.concatenate(texts)
-        c = self.single(h)
-        single = add_one(c, self.n, self.v)
-        before = np.append(self.single(np.array([_END])), c[:-1])
-        p = smoothed(counted_as(self.levels(pairs(h))), before, single)
-        total = lambda x: np.add.reduceat(x, first)
-        return pd.DataFrame({"n_tokens": size, "n_known": total((c > 0).astype(np.int64)), "base_score": total(np.log10(single)), "score": total(np.log10(p))})
+    def score(self, run: Run) -> list[np.ndarray]:
+        """Tokens, known tokens, base score and score of each text. Each distinct token and pair is looked up once."""
+        count = self.single(run.distinct)
+        one = add_one(count, self.n, self.v)
+        distinct, which = np.unique(pairs(run.hashes), return_inverse=True)
+        c, single = count[run.codes], one[run.codes]
+        before = np.append(count[-1], c[:-1])
+        p = smoothed(counted_as(self.levels(distinct))[which], before, single)
+        total = lambda x: np.add.reduceat(x, run.first)
+        return [run.size, total((c > 0).astype(np.int64)), total(np.log10(one)[run.codes]), total(np.log10(p))]
 
 
 def add_one(c, n: int, v: int):
@@ -156,18 +180,17 @@ def is_held_out(doc_id) -> bool:
 def _counts(docs: DataFrame, of_pairs: bool) -> DataFrame:
     """h, n: counts as far as a task has met them."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
 
-        def out() -> pd.DataFrame:
-            h = np.concatenate(parts)
-            h, n = np.unique(pairs(h) if of_pairs else h, return_counts=True)
-            return pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int64)})
+        def out() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(parts), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
         for b in batches:
-            for t in b["t"]:
-                h = tokens(t)
-                parts.append(h)  # the end of a text stands before the next one's first token
+            for lo, hi in runs(b.column(0)):
+                h = Run(b.column(0).slice(lo, hi - lo)).hashes
+                parts.append(pairs(h) if of_pairs else h)
                 size += len(h)
                 if size >= _FLUSH:
                     yield out()
@@ -175,7 +198,7 @@ def _counts(docs: DataFrame, of_pairs: bool) -> DataFrame:
         if parts:
             yield out()
 
-    return docs.select(text_of().alias("t")).mapInPandas(count, "h long, n long")
+    return docs.select(text_of().alias("t")).mapInArrow(count, "h long, n long")
 
 
 def single_counts(train: DataFrame) -> DataFrame:
@@ -186,32 +209,35 @@ def single_counts(train: DataFrame) -> DataFrame:
 def segments(train: DataFrame) -> DataFrame:
     """segment, n_bits, bits: the filter, built where the pair counts of a segment meet. A pair brings a row a task at most."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, ns, size = [], [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            h, back = np.unique(np.concatenate(hs), return_inverse=True)
-            return h, np.bincount(back, weights=np.concatenate(ns), minlength=len(h))
+            h, n = np.concatenate(hs), np.concatenate(ns)
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            return h[first], np.add.reduceat(n, first)
 
         for b in batches:
-            hs.append(b["h"].to_numpy().view(np.uint64))
-            ns.append(b["n"].to_numpy())
+            hs.append(b.column("h").to_numpy().view(np.uint64))
+            ns.append(b.column("n").to_numpy())
             size += len(b)
             if size > 2 * _FLUSH:
                 h, n = merged()
                 hs, ns, size = [h], [n], 0
-        if not hs:
+        if not size and not hs:
             return
         h, n = merged()
         seg = (h >> _U(64 - SEGMENT_BITS)).astype(np.int64)
-        cut = np.flatnonzero(np.diff(seg)) + 1
-        for own_h, own_n in zip(np.split(h, cut), np.split(n, cut), strict=True):
-            if len(own_h):
-                n_bits, raw = build_segment(own_h, own_n)
-                yield pd.DataFrame({"segment": [int(own_h[0] >> _U(64 - SEGMENT_BITS))], "n_bits": [n_bits], "bits": [raw]})
+        cut = [0, *(np.flatnonzero(np.diff(seg)) + 1).tolist(), len(h)]
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            if hi > lo:
+                n_bits, raw = build_segment(h[lo:hi], n[lo:hi])
+                yield pa.RecordBatch.from_arrays([pa.array([int(seg[lo])], pa.int32()), pa.array([n_bits], pa.int64()), pa.array([raw], pa.binary())], names=["segment", "n_bits", "bits"])
 
     dealt = _counts(train, True).repartition(F.shiftrightunsigned("h", 64 - SEGMENT_BITS))
-    return dealt.mapInPandas(build, "segment int, n_bits long, bits binary")
+    return dealt.mapInArrow(build, "segment int, n_bits long, bits binary")
 
 
 _SCORE = "n_tokens long, n_known long, base_score double, score double"
@@ -229,6 +255,8 @@ def score_documents(docs: DataFrame, train: DataFrame, max_broadcast: int = MAX_
         out = _by_broadcast(docs, singles, filters, n, v)
     else:
         out = _by_join(docs, filters, singles, n, v)
+        return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    forget(singles, filters)  # the model holds them
     return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -243,21 +271,14 @@ def _by_broadcast(docs: DataFrame, singles: DataFrame, filters: DataFrame, n: in
     sent = docs.sparkSession.sparkContext.broadcast(Model(words, counts, n, v, rows))
     del words, counts, rows, order
 
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            done, run, size = [], [], 0
-            for t in b:
-                run.append(tokens(t))
-                size += len(run[-1])
-                if size >= 500_000:
-                    done.append(model.score(run))
-                    run, size = [], 0
-            if run:
-                done.append(model.score(run))
-            yield pd.concat(done, ignore_index=True) if done else pd.DataFrame(columns=["n_tokens", "n_known", "base_score", "score"])
+            for lo, hi in runs(b.column(1)):
+                made = model.score(Run(b.column(1).slice(lo, hi - lo)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, made)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return docs.select("doc_id", F.pandas_udf(score, _SCORE)(text_of()).alias("s")).select("doc_id", "s.*")
+    return docs.select("doc_id", text_of().alias("t")).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_SCORE}")
 
 
 def probed(docs: DataFrame, filters: DataFrame) -> DataFrame:
@@ -273,23 +294,42 @@ def probed(docs: DataFrame, filters: DataFrame) -> DataFrame:
     return asked.groupBy("segment").cogroup(filters.groupBy("segment")).applyInPandas(probe, "pair long, lv long")
 
 
+def _counted(rows: DataFrame, key: str, singles: DataFrame, n: int, into: str, spread: str) -> DataFrame:
+    """rows with the count of the token in column key, 0 where it has none. Frequent tokens find it in a broadcast table of FREQUENT rows
+    at most, so that none of them is a hot key of the join; there they go by the column `spread` instead, and find nothing."""
+    often = singles.where(F.col("n") * FREQUENT >= n).select(F.col("h").alias(key), F.col("n").alias("often"))
+    seldom = singles.where(F.col("n") * FREQUENT < n).select(F.col("h").alias("seldom_key"), F.col("n").alias("seldom"))
+    met = rows.join(F.broadcast(often), key, "left").withColumn("own_key", F.when(F.col("often").isNull(), F.col(key)).otherwise(F.col(spread)))
+    met = met.join(seldom, met["own_key"] == seldom["seldom_key"], "left")
+    return met.withColumn(into, F.coalesce("often", "seldom", F.lit(0))).drop("often", "seldom", "seldom_key", "own_key")
+
+
 def _by_join(docs: DataFrame, filters: DataFrame, singles: DataFrame, n: int, v: int) -> DataFrame:
     """The same by joins: rows are (document, pair, how often), reduced within the document first."""
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "pair", "before", "token", "times"]
         for b in batches:
-            for key, t in zip(b["key"].tolist(), b["t"], strict=True):
-                h = tokens(t)
+            keys = b.column(0).to_numpy()
+            for lo, hi in runs(b.column(1)):
+                run = Run(b.column(1).slice(lo, hi - lo))
+                h = run.hashes
                 before = np.append(np.array([_END]), h[:-1])
-                p, first, times = np.unique(pairs(h), return_index=True, return_counts=True)
-                yield pd.DataFrame({"key": key, "pair": p.view(np.int64), "before": before[first].view(np.int64), "token": h[first].view(np.int64), "times": times})
+                p = pairs(h)
+                text = np.repeat(np.arange(hi - lo), run.size)
+                order = np.lexsort((p, text))
+                first = np.flatnonzero(np.append(True, (p[order][1:] != p[order][:-1]) | (text[order][1:] != text[order][:-1])))
+                own = order[first]
+                times = np.diff(np.append(first, len(order)))
+                columns = [keys[lo:hi][text[own]], *(x[own].view(np.int64) for x in (p, before, h)), times.astype(np.int64)]
+                for at in range(0, len(own), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000]) for c in columns], names=names)
 
     keyed = docs.select("doc_id", text_of().alias("t")).withColumn("key", F.xxhash64("doc_id", "t"))
-    rows = keyed.select("key", "t").dropDuplicates(["key"]).mapInPandas(spread, "key long, pair long, before long, token long, times long")
-    lv = probed(docs, filters)
-    one = singles.select(F.col("h").alias("token"), F.col("n").alias("c"))
-    two = singles.select(F.col("h").alias("before"), F.col("n").alias("cb"))
-    met = rows.join(lv, "pair", "left").join(one, "token", "left").join(two, "before", "left").fillna(0, ["lv", "c", "cb"])
+    rows = keyed.select("key", "t").dropDuplicates(["key"]).mapInArrow(spread, "key long, pair long, before long, token long, times long")
+    met = rows.join(probed(docs, filters), "pair", "left").fillna(0, ["lv"])
+    met = _counted(met, "token", singles, n, "c", "pair")
+    met = _counted(met, "before", singles, n, "cb", "pair")
     single = (F.col("c") + 1) / F.lit(float(n + 1 * (v + 1)))
     pair = F.when(F.col("lv") > 0, (F.pow(F.lit(2.0), F.col("lv") - 1) + F.pow(F.lit(2.0), F.col("lv")) - 1) / 2).otherwise(0.0)
     p = (F.least(pair, F.col("cb").cast("double")) + SMOOTHING * single) / (F.col("cb") + SMOOTHING)
