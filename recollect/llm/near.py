@@ -38,7 +38,7 @@ from .words import hashed_words, runs, word_hashes
 K, SIMILARITY = 5, 0.8
 ELL, SKETCHES, SHORT = 2, 96, 40
 #: A bucket that spans components meets itself in blocks of BLOCK members; a matrix of a tile has at most TILE numbers.
-BLOCK, TILE = 1024, 1 << 20
+BLOCK, TILE = 2048, 1 << 20
 #: Signatures that a task sorts at once.
 FLUSH = 1_000_000
 
