@@ -11,7 +11,8 @@ one goes on for all with weight 2, and the others are known repeats that need no
 So a hash brings at most a row a task to the place where it is counted, however many rows hold it.
 
 Defined cases: a null text has no words; texts shorter than the window are left as they are; rows that repeat a document (with
-its doc_id) repeat its windows, so they lose them; windows are judged on the input; an empty table gives an empty table.
+its doc_id) repeat its windows, so they lose them; a doc_id of any type, null too, comes back as it was; windows are judged on the
+input; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,41 +21,21 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep, ship, text_of
+from .common import MOST_KEYS, keep, ship, text_of
+from .words import hashed_words, runs, split_words
 
 WINDOW = 35
 #: A perfect difference set modulo 21: every distance from 1 to 20 is the difference of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
-#: Keys that are broadcast at most (8 bytes each); beyond, texts and keys meet by a shuffle.
-MOST_KEYS = 4_000_000
 _FLUSH = 3_000_000
 
 
-class _Hashes(dict):
-    """Words and their 64-bit hashes; bounded, as a worker keeps them for as long as it lives."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = h
-        return h
-
-
-_WORDS = _Hashes()
-
-
-def word_hashes(words: Sequence[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-
-
 class Rolling:
     """Hashes of any windows of a sequence, from prefix sums modulo 2**64."""
 
@@ -109,7 +90,7 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
 _PLACES = "g long, g2 int, w int, key long, at int"
 
 
-def _meet(parts: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> pd.DataFrame:
+def _meet(parts: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> pa.RecordBatch:
     """Places (hash, second hash, key, positions) of one task with weights, as the module says."""
     g = np.concatenate([p[0] for p in parts])
     g2 = np.concatenate([p[1] for p in parts])
@@ -127,7 +108,8 @@ def _meet(parts: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]]) -> pd.Dat
     lone = weight == 0
     with np.errstate(over="ignore"):
         apart = (key.view(np.uint64) + at.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)
-    return pd.DataFrame({"g": np.where(lone, apart, g).view(np.int64), "g2": np.where(lone, 0, g2).astype(np.int32), "w": weight, "key": key, "at": at})
+    columns = [np.where(lone, apart, g).view(np.int64), np.where(lone, 0, g2).astype(np.int32), weight, key, at]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "g2", "w", "key", "at"])
 
 
 def _repeats(places: DataFrame) -> DataFrame:
@@ -153,41 +135,43 @@ def repeated_starts(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     short = window - period + 1
     none = np.zeros(0, np.int32)
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for b in batches:
-            for key, t in zip(b["key"].tolist(), b["t"], strict=True):
-                words = t.encode("utf-8", "replace").split()
-                at = anchor_places(len(words), window, period, cover)
-                if len(at):
-                    g = _FIRST.windows(word_hashes(words), at, short)
-                    parts.append((g, np.zeros(len(at), np.int32), key, at))
-                    n += len(at)
-            if n >= _FLUSH:
-                yield _meet(parts)
-                parts, n = [], 0
+            for lo, hi in runs(b.column("t")):
+                ends, hashes = hashed_words(b.column("t").slice(lo, hi - lo))
+                for key, s, e in zip(b.column("key").slice(lo, hi - lo).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    at = anchor_places(e - s, window, period, cover)
+                    if len(at):
+                        parts.append((_FIRST.windows(hashes[s:e], at, short), np.zeros(len(at), np.int32), key, at))
+                        n += len(at)
+                if n >= _FLUSH:
+                    yield _meet(parts)
+                    parts, n = [], 0
         if parts:
             yield _meet(parts)
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, n = [], 0
         for b in batches:
-            for key, t, found in zip(b["key"].tolist(), b["t"], b["places"], strict=True):
-                words = t.encode("utf-8", "replace").split()
-                at = candidate_starts(np.unique(np.asarray(found, np.int64)), len(words), window, period)
-                h = word_hashes(words)
-                parts.append((_FIRST.windows(h, at, window), _SECOND.windows(h, at, window).astype(np.uint32).view(np.int32), key, at))
-                n += len(at)
-                if n >= _FLUSH:
-                    yield _meet(parts)
-                    parts, n = [], 0
+            for lo, hi in runs(b.column("t")):
+                ends, hashes = hashed_words(b.column("t").slice(lo, hi - lo))
+                found = b.column("places").slice(lo, hi - lo)
+                for k, (key, s, e) in enumerate(zip(b.column("key").slice(lo, hi - lo).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    at = candidate_starts(np.unique(found[k].values.to_numpy().astype(np.int64)), e - s, window, period)
+                    h = hashes[s:e]
+                    parts.append((_FIRST.windows(h, at, window), _SECOND.windows(h, at, window).astype(np.uint32).view(np.int32), key, at))
+                    n += len(at)
+                    if n >= _FLUSH:
+                        yield _meet(parts)
+                        parts, n = [], 0
         if parts:
             yield _meet(parts)
 
     keyed = _keyed(docs)
-    met = _repeats(keyed.select("key", "t").mapInPandas(anchors, _PLACES))
+    met = _repeats(keyed.select("key", "t").mapInArrow(anchors, _PLACES))
     met = keep(met.groupBy("key").agg(F.collect_list("at").alias("places")))
-    full = _repeats(_with_places(keyed.select("key", "t"), met).mapInPandas(windows, _PLACES))
+    full = _repeats(_with_places(keyed.select("key", "t"), met).mapInArrow(windows, _PLACES))
     return keep(full.groupBy("key").agg(F.collect_set("at").alias("starts")))
 
 
@@ -195,27 +179,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) for each row of docs."""
     starts = repeated_starts(docs, window, period, cover)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            found = b["starts"] if "starts" in b else [None] * len(b)
-            for t, own in zip(b["t"], found, strict=True):
-                words = t.encode("utf-8", "replace").split()
-                n = len(words)
-                if own is not None and len(own):
-                    gone = covered(np.asarray(own, np.int64), n, window)
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                rows.append((n, n - len(words), b" ".join(words).decode()))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"]).assign(doc_id=b["doc_id"].to_numpy())[["doc_id", "n_words", "n_removed", "kept"]]
+            for lo, hi in runs(b.column("t")):
+                part = b.slice(lo, hi - lo)
+                ends, codes, words = split_words(part.column("t"))
+                gone = np.zeros(len(codes), bool)
+                if "starts" in b.schema.names:
+                    for k in np.flatnonzero(part.column("starts").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                        gone[ends[k] : ends[k + 1]] = covered(part.column("starts")[k].values.to_numpy().astype(np.int64), int(ends[k + 1] - ends[k]), window)
+                left = np.concatenate([[0], np.cumsum(~gone)])[ends]
+                kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.take(pa.array(codes[~gone]))), " ")
+                n = np.diff(ends)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(n - np.diff(left)), kept], names=["doc_id", "n_words", "n_removed", "kept"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
     keyed = _keyed(docs)
     if starts.count() <= MOST_KEYS:
         clean = keyed.join(F.broadcast(starts.select("key")), "key", "left_anti")
-        cut_rows = _with_places(keyed, starts).select("doc_id", "t", "starts").mapInPandas(cut, schema)
-        return clean.select("doc_id", "t").mapInPandas(cut, schema).unionByName(cut_rows)
-    return keyed.join(starts, "key", "left").select("doc_id", "t", "starts").mapInPandas(cut, schema)
+        cut_rows = _with_places(keyed, starts).select("doc_id", "t", "starts").mapInArrow(cut, schema)
+        return clean.select("doc_id", "t").mapInArrow(cut, schema).unionByName(cut_rows)
+    return keyed.join(starts, "key", "left").select("doc_id", "t", "starts").mapInArrow(cut, schema)
 
 
 def op9_substring_dedup(docs: DataFrame) -> DataFrame:
