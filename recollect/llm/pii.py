@@ -10,7 +10,8 @@
 The trees become one SQL expression, so that scoring too runs inside the JVM.
 
 Positions are in code points. The text is cut at the matches by a private-use character that no pattern can match (such
-characters in a text are first replaced, one for one). Patterns are possessive, so that they take time in proportion to the text.
+characters in a text are first replaced, one for one). Patterns are possessive, so that they take time in proportion to the text;
+positions, overlaps and the redacted text come from scans in blocks, so that a text of n matches takes n * STRIDE steps and not n * n.
 
 Defined cases: a null text is an empty text without spans; equal rows are treated alike; a corpus without candidates selects
 nothing; an empty table gives an empty table; other columns pass through `redact`.
@@ -46,6 +47,10 @@ N_BASE = 4
 #: Words before a span that speak for a kind.
 CONTEXT = ("mail|contact|write to", "host|server|address|ip", "card|visa|credit|pay", "tel|phone|call|fax|mobile")
 
+#: Elements that a scan takes together, and characters of a block of a text that is cut.
+STRIDE, CHARS = 128, 4096
+_FAR = 2**31 - 1
+
 FEATURES = ("generator", "digits", "separators", "first", "before", "after", "told")
 #: A candidate is selected from this calibrated probability on.
 THRESHOLD = 0.95
@@ -86,16 +91,42 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"^[\x20\x09-\x0D]$"), 1).when(c.rlike("^[0-9]$"), 2).when(c.rlike(r"^\p{L}$"), 3).otherwise(4)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once, however often body names it (a lambda works out what it names from outside anew for
+    each element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before_each(numbers: Column, of, none: int) -> Column:
+    """For each element of an array of numbers what `of` (a function of an array) says of all elements before it; `none` before the first.
+    In blocks of STRIDE, so that the work does not grow with the square of the array. `of` is associative: sum, greatest."""
+    n = lambda x: F.size(x)
+    return F.when(n(numbers) == 0, F.expr("CAST(array() AS ARRAY<INT>)")).otherwise(
+        let(
+            numbers,
+            lambda x: let(
+                F.transform(F.sequence(F.lit(0), F.floor((n(x) - 1) / STRIDE).cast("int")), lambda b: of(F.slice(x, b * STRIDE + 1, STRIDE))),
+                lambda blocks: let(
+                    F.transform(blocks, lambda _, b: F.when(b > 0, of(F.slice(blocks, F.lit(1), F.greatest(b, F.lit(1))))).otherwise(none)),
+                    lambda past: F.transform(
+                        x,
+                        lambda _, i: F.when(
+                            i % STRIDE > 0, of(F.array(F.element_at(past, F.floor(i / STRIDE).cast("int") + 1), of(F.slice(x, F.floor(i / STRIDE).cast("int") * STRIDE + 1, F.greatest(i % STRIDE, F.lit(1))))))
+                        ).otherwise(F.element_at(past, F.floor(i / STRIDE).cast("int") + 1)),
+                    ),
+                ),
+            ),
+        )
+    )
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
 def _spans(t: Column, number: int) -> Column:
     """Candidates of one generator: an array of (generator, kind, start, end, base, weak, and the features)."""
     kind, needs, pattern = GENERATORS[number]
-    cut = F.split(F.regexp_replace(t, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT, -1)
-    gaps = F.filter(cut, lambda x, i: i % 2 == 0)
-    found = F.filter(cut, lambda x, i: i % 2 == 1)
-    # Zipped, not looked up: what a lambda names from outside is worked out anew for each element.
-    n = F.size(found)
-    rows = F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda m, g: F.struct(m.alias("m"), g.alias("gap")))
-    rows = F.zip_with(rows, F.slice(gaps, F.lit(2), n), lambda r, g: F.struct(r["m"].alias("m"), r["gap"].alias("gap"), F.substring(g, 1, 1).alias("next")))
 
     def feature(m: Column, gap: Column, after: Column) -> list[Column]:
         told = F.lower(F.substring(gap, -24, 24))
@@ -112,18 +143,23 @@ def _spans(t: Column, number: int) -> Column:
             marks.alias("told"),
         ]
 
-    def add(acc: Column, r: Column) -> Column:
-        start = acc["at"] + F.char_length(r["gap"])
-        end = start + F.char_length(r["m"])
+    def one(r: Column) -> Column:
         ok = passes(F.lit(kind), r["m"])
-        one = F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), (ok & F.lit(number < N_BASE)).alias("base"), ok.cast("int").alias("weak"),
-            *feature(r["m"], r["gap"], r["next"]),
+        return F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), r["start"].alias("start"), (r["start"] + F.char_length(r["m"])).alias("end"), (ok & F.lit(number < N_BASE)).alias("base"),
+            ok.cast("int").alias("weak"), *feature(r["m"], r["gap"], r["next"]),
         )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
+    def all_of(cut: Column) -> Column:
+        placed = F.zip_with(cut, before_each(F.transform(cut, F.char_length), total, 0), lambda p, s: F.struct(p.alias("p"), s.alias("s")))
+        found, gaps = F.filter(placed, lambda _, i: i % 2 == 1), F.filter(placed, lambda _, i: i % 2 == 0)
+        n = F.floor(F.size(cut) / 2).cast("int")
+        rows = F.zip_with(found, F.slice(gaps, F.lit(1), n), lambda m, g: F.struct(m["p"].alias("m"), m["s"].alias("start"), g["p"].alias("gap")))
+        rows = F.zip_with(rows, F.slice(gaps, F.lit(2), n), lambda r, g: F.struct(r["m"].alias("m"), r["start"].alias("start"), r["gap"].alias("gap"), F.substring(g["p"], 1, 1).alias("next")))
+        return F.transform(rows, one)
+
+    out = let(F.split(F.regexp_replace(t, f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT, -1), all_of)
     empty = F.expr(f"CAST(array() AS ARRAY<STRUCT<{_SPAN}>>)")
-    out = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
     may = t.rlike(pattern) if needs is None else F.contains(t, F.lit(needs)) & t.rlike(pattern)
     return F.when(may, out).otherwise(empty)
 
@@ -245,13 +281,24 @@ def fit(candidates: DataFrame, column: str = "candidates") -> Trees:
 
 def selected(model: Trees, candidates: Column, threshold: float = THRESHOLD) -> Column:
     """Base spans, and candidates whose probability reaches the threshold and that overlap no base span of their kind."""
-    base = F.filter(candidates, lambda c: c["base"])
-    extra = F.filter(
-        candidates,
-        lambda c: ~c["base"] & (model.expression(lambda f: c[f]) >= threshold) & ~F.exists(base, lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
     place = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
-    return F.array_sort(F.array_distinct(F.concat(F.transform(base, place), F.transform(extra, place))))
+    chosen = F.filter(candidates, lambda c: c["base"] | (model.expression(lambda f: c[f]) >= threshold))
+
+    def free(own: Column) -> Column:
+        """Of one kind's spans in the order of their starts: those that are base, or that no base span reaches into from either side."""
+        until = before_each(F.transform(own, lambda c: F.when(c["base"], c["end"]).otherwise(-1)), F.array_max, -1)
+        back = F.transform(F.reverse(own), lambda c: F.when(c["base"], -c["start"]).otherwise(-_FAR))
+        since = F.reverse(F.transform(before_each(back, F.array_max, -_FAR), lambda x: -x))
+        marked = F.zip_with(F.zip_with(own, until, lambda c, u: F.struct(c.alias("c"), u.alias("u"))), since, lambda r, v: F.struct(r["c"].alias("c"), r["u"].alias("u"), v.alias("v")))
+        return F.transform(F.filter(marked, lambda r: r["c"]["base"] | ((r["u"] <= r["c"]["start"]) & (r["v"] >= r["c"]["end"]))), lambda r: place(r["c"]))
+
+    def of_kind(found: Column, kind: int) -> Column:
+        rows = F.filter(found, lambda c: c["kind"] == kind)
+        # Of spans that start together, extras stand before base ones and are reached by them from behind.
+        ordered = F.array_sort(F.transform(rows, lambda c: F.struct(c["start"].alias("start"), c["base"].alias("base"), c["end"].alias("end"), c["kind"].alias("kind"))))
+        return F.when(F.size(rows) > 0, let(ordered, free)).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<kind: INT, start: INT, end: INT>>)"))
+
+    return let(chosen, lambda found: F.array_sort(F.array_distinct(F.concat(*(of_kind(found, k) for k in range(len(KINDS)))))))
 
 
 def _written(spans: Column) -> Column:
@@ -259,26 +306,45 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text that is cut into blocks of CHARS."""
+    first, last = F.floor(start / CHARS).cast("int"), F.floor(end / CHARS).cast("int")
+    at = lambda k: F.coalesce(F.get(blocks, k), F.lit(""))
+    several = F.concat(F.substring(at(first), start % CHARS + 1, F.lit(CHARS)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(at(last), F.lit(1), end % CHARS))
+    return F.when(first == last, F.substring(at(first), start % CHARS + 1, end - start)).otherwise(several)
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each span (kind, start, end) replaced by its kind in angle brackets; overlapping spans become one, named by the first."""
+    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+
+    def written(ordered: Column) -> Column:
+        ends = F.transform(ordered, lambda x: x["end"])
+        rows = F.zip_with(ordered, before_each(ends, F.array_max, 0), lambda x, at: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), at.alias("at"), F.lit(False).alias("last")))
+        return let(
+            F.when(F.char_length(text) <= CHARS, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARS}}}"), F.lit(0))),
+            lambda blocks: F.concat(
+                F.array_join(F.transform(F.filter(rows, lambda r: r["start"] >= r["at"]), lambda r: F.concat(_piece(blocks, r["at"], r["start"]), F.element_at(names, r["kind"] + 1))), ""),
+                _piece(blocks, F.array_max(ends), F.char_length(text)),
+            ),
+        )
+
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    return let(ordered, lambda o: F.when(F.size(o) > 0, written(o)).otherwise(text))
+
+
 def redact(docs: DataFrame, text: str = "text", model: Trees | None = None) -> DataFrame:
     """docs with each selected span replaced by its kind in angle brackets; overlapping spans become one, named by the first.
-    A null text stays null."""
+    A null text stays null. Candidates are found once and written beside the documents, the model is fitted on them and applied."""
     own = docs.columns
-    (c, s) = fresh(docs, "candidates", "spans")
+    (c,) = fresh(docs, "candidates")
+    found = with_candidates(docs, text, c)
     if model is None:
-        model = fit(with_candidates(docs.select(F.col(text).alias("text"))))
-    found = with_candidates(docs, text, c).withColumn(s, F.array_sort(F.transform(selected(model, F.col(c)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))))
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    t = F.col(text)
-
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["start"] > acc["at"], F.substring(t, acc["at"] + 1, x["start"] - acc["at"])).otherwise(F.lit(""))
-        name = F.when(x["start"] >= acc["at"], F.element_at(names, x["kind"] + 1)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], gap, name).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    said = F.aggregate(F.col(s), zero, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.char_length(t))))
-    out = found.withColumn(text, F.when(F.size(s) > 0, said).otherwise(t))
-    return out.select(*(F.col(f"`{x}`") for x in own))
+        found = keep(found)
+        model = fit(found, c)
+    t = F.col(f"`{text}`")
+    out = F.when(F.size(c) > 0, replaced(t, selected(model, F.col(c)))).otherwise(t)
+    return found.withColumn(text, out).select(*(F.col(f"`{x}`") for x in own))
 
 
 def op5_pii(docs: DataFrame) -> DataFrame:
