@@ -15,13 +15,16 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, ship, text_of
+from .words import runs
 
+#: Text that the sample brings to the driver at most, but for its last text.
+SAMPLE_BYTES = 16_000_000
 # What counts as white space and as a symbol.
 SYMBOLS = b"#*$%&|<>"
 
@@ -165,8 +168,16 @@ def plan_cascade(texts: Sequence[str | None], rules: Sequence[Rule], clock: Call
 
 
 def fit_cascade(docs: DataFrame, rules: Callable[[], Sequence[Rule]] = production_rules, text: str = "text", sample: int = 256) -> list[str]:
-    """The order of the rules' names, from at most `sample` texts. It decides the cost of a run only."""
-    texts = [r[0] for r in docs.select(F.col(text)).limit(sample).collect()]
+    """The order of the rules' names, from a random sample of about `sample` texts (twice as many at most) over the whole table, of
+    SAMPLE_BYTES at most. It decides the cost of a run only."""
+    own = docs.select(F.col(text).alias("t"))
+    share = min(1.0, sample / max(1, own.count()))
+    texts, size = [], 0
+    for r in (own.sample(False, share, seed=1) if share < 1 else own).limit(2 * sample).toLocalIterator():
+        texts.append(r[0])
+        size += len(r[0] or "")
+        if size > SAMPLE_BYTES:
+            break
     return plan_cascade(texts, rules()).order()
 
 
@@ -176,20 +187,24 @@ def _in_order(rules: Callable[[], Sequence[Rule]], order: Sequence[str]) -> Casc
 
 
 def judge_udf(rules: Callable[[], Sequence[Rule]], order: Sequence[str], metrics: bool):
-    """A pandas UDF: rejected_by, and with metrics the five base figures too."""
+    """An Arrow UDF: rejected_by, and with metrics the five base figures too."""
     kind = T.StructType([T.StructField("rejected_by", T.StringType(), True), *(METRICS.fields if metrics else [])])
 
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cascade = _in_order(rules, order)
+        kinds = [pa.string(), *[pa.int64()] * (len(kind) - 1)]
         for texts in batches:
-            rows = []
-            for x in texts:
-                t = Text(x)
-                row = (cascade.verdict(t),)
-                rows.append((*row, t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words) if metrics else row)
-            yield pd.DataFrame(rows, columns=kind.names).astype({c: "int64" for c in kind.names[1:]})
-
-    return F.pandas_udf(judge, kind)
+            columns: list[list] = [[] for _ in kinds]
+            for lo, hi in runs(texts):
+                for x in texts.slice(lo, hi - lo).to_pylist():
+                    t = Text(x)
+                    row = (cascade.verdict(t),)
+                    for c, v in zip(columns, (*row, t.n_words, t.word_chars, t.n_symbols, t.lines[1], t.n_repeat_words) if metrics else row, strict=True):
+                        c.append(v)
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=kind.names)
+
+    judge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(judge, kind)
 
 
 def judge(docs: DataFrame, rules: Callable[[], Sequence[Rule]] = production_rules, text: str = "text", metrics: bool = False, sample: int = 256, into: str = "quality") -> DataFrame:
