@@ -2,6 +2,7 @@
 rows, empty tables, and extra columns whose names the operators use themselves."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -9,7 +10,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from recollect.llm import bpe, exact, lm, near, packing, pii, quality, substring, toxicity, urlfilter
 from recollect.llm.registry import vocabulary
@@ -73,9 +76,14 @@ def test_bpe_equals_library(docs, none):
     assert bpe.op2_bpe(none, vocabulary()).count() == 0
 
 
-def test_bpe_on_random_texts_and_small_memory():
-    t, e = library(), bpe.Encoder(vocabulary(), memory=300)
+def test_bpe_on_random_texts():
+    t, e = library(), bpe.Encoder(vocabulary())
     r = random.Random(4)
+    few = [*"aabbccdetsI'!.<|>1é漢ñ\u0301\u00a0\x1c\x7f", " ", "\n", "<|endoftext|>", "'s", "'LL"]
+    made = ["".join(r.choice(few) for _ in range(r.randrange(30))) for _ in range(600)] + ["a" * n for n in range(1, 40)]
+    ids, at = e.encode_run(pa.array(made))
+    for k, x in enumerate(made):
+        assert ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids
     for _ in range(150):
         text = "".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x80, 0x3000), r.randrange(0x10000, 0x1FFFF), 32])) for _ in range(80))
         ids = t.encode(text, add_special_tokens=False).ids
@@ -111,6 +119,21 @@ def test_packing(docs, none, odd):
     assert packing.pack_documents(odd, vocabulary()).where("doc_id IS NULL").count() == 2
 
 
+def test_bpe_refuses_other_files(tmp_path):
+    spec = json.loads(open(vocabulary(), encoding="utf-8").read())
+    spec["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Encoder(str(tmp_path / "other.json"))
+
+
+def test_large_doc_ids_beside_null(spark):
+    large = 9007199254740993
+    d = spark.createDataFrame([(large, BASE), (None, BASE)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in packing.op1_best_fit_packing(d, vocabulary()).collect()} == {large, None}
+    assert {r["doc_id"] for r in substring.op9_substring_dedup(d).collect()} == {large, None}
+
+
 def test_open_bins_against_plain_best_fit():
     r = random.Random(2)
     for most in (1, 3, 50):
@@ -170,6 +193,25 @@ def test_label_model_finds_accuracies_and_correlations():
     assert m.correlations[1, 2] > 0.95 and m.weights[1] < 0.6 < m.weights[0]
 
 
+def test_toxicity_odd(spark, none):
+    """Columns with the names that the operator uses, no labels, no texts, rows that share a doc_id, ties, a very long text."""
+    r = random.Random(9)
+    data = [(i, prose(20, 3000 + i) + (" grubzap" if i % 3 == 0 else ""), 1, 2, 3) for i in range(300)] + [(3, "other", 1, 2, 3), (900, prose(20000, 8) + " grubzap", 1, 2, 3), (901, None, 1, 2, 3), (None, BASE, 1, 2, 3)]
+    r.shuffle(data)
+    d = spark.createDataFrame(data, "doc_id long, text string, toxic int, id int, y int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(3, 1), (None, 1), (5, None), (7, 9)], "doc_id long, toxic int")
+    got = toxicity.op3_toxicity(d, labels).collect()
+    assert len(got) == len(data)
+    by = {x["doc_id"]: x for x in got if x["doc_id"] != 3}
+    assert sum(by[i]["predicted"] == int(i % 3 == 0) for i in range(300) if i != 3) > 285 and by[900]["predicted"] == 1 and by[901]["predicted"] == 0
+    assert toxicity.op3_toxicity(none, labels).count() == 0
+    flat = toxicity.op3_toxicity(d, labels.limit(0)).collect()
+    assert len({x["score"] for x in flat}) == 1 and len(flat) == len(data)
+    few = toxicity.training_rows(d, labels, most=50, most_chars=2000)
+    assert 0 < len(few) < 50 and sum(len(t) for t, _ in few) <= 2000 and few == toxicity.training_rows(d, labels, most=50, most_chars=2000)
+    assert len(toxicity.training_rows(d, labels)) == len({i for i in range(300) if zlib.crc32(str(i).encode()) % 5})
+
+
 # Near duplicates ---------------------------------------------------------------------------------------------------------
 
 
@@ -265,12 +307,53 @@ def test_pairs_at_the_threshold_become_candidates(edits, least):
     assert found >= least
 
 
-def test_histograms_never_drop_a_similar_pair():
-    words = [near.word_hashes(changed(prose(60, 5), k, k).encode().split()).astype(np.uint32).astype(np.int64) for k in range(40)]
-    words.sort(key=len)
-    n, every = np.array([len(w) for w in words]), np.arange(40)
-    found = {(i, j) for i, js in near.near_enough(n, every, np.stack([near.histogram(w) for w in words]), every, every, 0.8) for j in js}
-    assert found >= {(i, j) for i in every for j in every if i != j and near.similar(words[i], words[j])}
+def test_presence_never_drops_a_similar_pair(monkeypatch):
+    monkeypatch.setattr(near, "TILE", 2000)
+    words = [near.word_hashes(changed(prose(20 + 15 * (k % 5), 5), k, k).encode().split()).astype(np.uint32).astype(np.int64) for k in range(60)]
+    n, every = np.array([len(w) for w in words]), np.arange(60)
+    i, j = near.near_enough(n, every, [near.presence(w) for w in words], every, every, 0.8)
+    true = {(i, j) for i in every for j in every if i != j and near.similar(words[i], words[j])}
+    assert true <= set(zip(i.tolist(), j.tolist(), strict=True)) and len(i) < 60 * 59
+
+
+def test_buckets_connect_what_shares_a_signature(spark, monkeypatch):
+    monkeypatch.setattr(near, "FLUSH", 50)
+    r = random.Random(8)
+    data = [(i, t, [r.randrange(-20, 20) for _ in range(3)]) for i in range(200) for t in [r.randrange(-100, 100)]]
+    got = near.buckets(spark.createDataFrame(data, "doc_id long, tid long, sigs array<long>").repartition(7)).collect()
+    members = {}
+    for _, t, sigs in data:
+        for s in sigs:
+            members.setdefault(s, set()).add(t)
+    found, links = {}, {}
+    for g in got:
+        found.setdefault(g["sig"], set()).update((g["tid"], g["lead"]))
+        links.setdefault(g["sig"], []).append((g["tid"], g["lead"]))
+    assert found == {s: ts for s, ts in members.items() if len(ts) > 1}
+    for s, own in links.items():
+        reached, grown = {min(members[s])}, True
+        while grown:
+            new = {x for p in own if reached & set(p) for x in p} - reached
+            reached, grown = reached | new, bool(new)
+        assert reached == members[s]
+
+
+def test_rows_are_kept_not_ids(spark):
+    w = prose(100, 61)
+    near_copy, other = changed(w, 3, 1), prose(100, 62)
+    data = [(1, w), (2, near_copy), (2, other), (None, changed(w, 2, 5)), (1, w), (3, other), (None, None), (None, ""), (4, " ")]
+    d = spark.createDataFrame([(*x, k) for k, x in enumerate(data)], "doc_id long, text string, gone_id int")
+    got = near.op4_order_minhash(d).collect()
+    assert len(got) == len(data) and all(r["kept"] is not None for r in got) and sum(r["kept"] for r in got) == 3
+    assert Counter((r["doc_id"], r["class_id"]) for r in got) == Counter([(1, 1), (1, 1), (2, 1), (None, 1), (2, 2), (3, 2), (None, 4), (None, 4), (4, 4)])
+    left = near.keep_one(d)
+    assert left.columns == d.columns and sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([(1, w), (2, other), (4, " ")])
+    first = exact.keep_first(d)
+    assert first.columns == d.columns
+    left = sorted(r["gone_id"] for r in first.collect())
+    assert left in [[x, 1, 2, 3, y, 8] for x in (0,) for y in (6, 7)] or sorted(left) in [sorted([4, 1, 2, 3, y, 8]) for y in (6, 7)]
+    got = exact.groups(d).collect()
+    assert sum(r["kept"] for r in got) == 6 and sorted(r["group_size"] for r in got if r["kept"]) == [1, 1, 1, 2, 2, 2]
 
 
 def test_components(spark):
@@ -293,7 +376,8 @@ def test_components(spark):
 def test_near_odd(odd, none):
     left = near.keep_one(odd)
     assert left.columns == odd.columns
-    assert {r["doc_id"] for r in left.collect()} >= {0, 3, 5, None}
+    ids = {r["doc_id"] for r in left.collect()}
+    assert ids >= {0, 3, 5} and None not in ids  # both rows without a doc_id are copies
     assert near.op4_order_minhash(none).count() == 0
 
 
@@ -337,6 +421,31 @@ def test_pii_adds_what_looks_real_and_redacts(spark, odd, none):
     assert m.margin(x | {"digits": 16}) > 1 > -1 > m.margin(x | {"digits": 12})
 
 
+def test_many_spans_in_a_text(spark):
+    """Thousands of matches: positions, overlaps and the redacted text as by plain loops, in time that follows the text."""
+    r = random.Random(12)
+    parts = [r.choice(["a@b.de", "+49 (30) 123-456-789", "10.0.0.1", "4111 1111 1111 1111", "x", "é😀", "12", "call 555-123-4567", "mail me [at] x [dot] de"]) for _ in range(6000)]
+    text = " ".join(parts)
+    df = spark.createDataFrame([(1, text), (2, "no"), (3, None)], "doc_id long, text string")
+    model = pii.fit(pii.with_candidates(df))
+    found = pii.with_candidates(df).withColumn("spans", pii.selected(model, F.col("candidates"))).where("doc_id = 1").first()
+    cands, spans = found["candidates"], [tuple(s) for s in found["spans"]]
+    base = [c for c in cands if c["base"]]
+    assert {(c["kind"], c["start"], c["end"]) for c in base} <= set(spans) and len(cands) > 3000
+    for c in cands:
+        value = text[c["start"] : c["end"]]
+        assert value and not value[0].isspace()
+        if (c["kind"], c["start"], c["end"]) in set(spans) - {(b["kind"], b["start"], b["end"]) for b in base}:
+            assert not any(b["kind"] == c["kind"] and b["start"] < c["end"] and c["start"] < b["end"] for b in base)
+    assert spans == sorted(set(spans))
+    out, upto = [], 0
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        if start >= upto:
+            out += [text[upto:start], f"<{pii.KINDS[kind].upper()}>"]
+        upto = max(upto, end)
+    assert pii.redact(df, model=model).where("doc_id = 1").first()["text"] == "".join(out) + text[upto:]
+
+
 # Language model, URLs, quality --------------------------------------------------------------------------------------------
 
 
@@ -370,6 +479,68 @@ def test_lm_scores_alike_by_broadcast_and_by_join(spark):
         assert two[i]["score"] == pytest.approx(one[i]["score"], rel=1e-12) and two[i]["n_known"] == one[i]["n_known"]
 
 
+MASK = (1 << 64) - 1
+
+
+def mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def plain_lm(rows_, train):
+    """Scores by plain loops: sets of bits for filters, dictionaries for counts."""
+    import xxhash
+
+    word = lambda w: xxhash.xxh3_64_intdigest(w)
+    end = word(b"\n")
+    split = {i: [word(w) for w in (t or "").encode().lower().split()] + [end] for i, t in rows_}
+    both = {i: [mix((a * 0x9E3779B97F4A7C15 + b) & MASK) for a, b in zip([end, *h], h)] for i, h in split.items()}
+    c, c2 = Counter(), Counter()
+    for i in train:
+        c.update(split[i])
+        c2.update(both[i])
+    n, v = sum(c.values()), len(c)
+
+    def places(h, q, n_bits):
+        x = mix((h + q * 0xD6E8FEB86659FD93) & MASK)
+        m = mix(x ^ 0x9E3779B97F4A7C15)
+        return [((x >> 32) * (n_bits // 512) >> 32) * 512 + (m >> 9 * k & 511) for k in range(6)]
+
+    segments = {}
+    for h, k in c2.items():
+        segments.setdefault(h >> 52, []).append((h, k.bit_length()))
+    size = {s: max(1, -(-10 * sum(q for _, q in own) // 512)) * 512 for s, own in segments.items()}
+    bits = {s: {b for h, q in own for lv in range(1, q + 1) for b in places(h, lv, size[s])} for s, own in segments.items()}
+
+    def level(h):
+        q = 0
+        while h >> 52 in bits and all(b in bits[h >> 52] for b in places(h, q + 1, size[h >> 52])):
+            q += 1
+        return q
+
+    out = {}
+    for i, h in split.items():
+        total = 0.0
+        for a, b, p in zip([end, *h], h, both[i]):
+            q = level(p)
+            seen = (2 ** (q - 1) + 2**q - 1) / 2 if q else 0.0
+            total += math.log10((min(seen, c[a]) + 4.0 * (c[b] + 1) / (n + v + 1)) / (c[a] + 4.0))
+        out[i] = total
+    return out
+
+
+def test_lm_scores_against_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 5)  # some tokens are frequent, some are not
+    data = [(i, prose(r, 40 + i) + " the the the") for i, r in enumerate([0, 5, 300, 900, 60, 61, 62])] + [(7, None), (8, ""), (9, BASE), (10, BASE), (11, "The THE the")]
+    train = [i for i, _ in data if i % 3]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    want = plain_lm(data, train)
+    for most in (lm.MAX_BROADCAST, 0):
+        got = rows(lm.score_documents(df, df.where("doc_id % 3 <> 0"), max_broadcast=most))
+        assert {i: r["score"] for i, r in got.items()} == pytest.approx(want, rel=1e-9)
+
+
 def test_filter_reads_back_levels():
     h = near._mix(np.arange(1, 5001, dtype=np.uint64))
     n = np.random.default_rng(1).integers(1, 300, 5000).astype(float)
@@ -391,6 +562,25 @@ def fits(glob, text):
     return row[-1]
 
 
+def test_odd_urls(spark, monkeypatch):
+    urls = ["http://evil.net\x01/a.org\x01/x", "http://a.net/x.ads.y/z", "http://x.ads.y/z", "http://a.org/" + "b" * 200_000 + "/login", "http://a.net/" + "b" * 200_000 + "/login", "http://a.net/" + "é" * 3000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(urlfilter, "TABLE", 100)
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.op7_url_filters(df).collect()}
+    assert got == {0: (None, "allow"), 1: (None, "allow"), 2: (None, "block"), 3: ("org/", "allow"), 4: (None, "block"), 5: (None, "allow")}
+
+
+def test_long_and_short_texts_in_the_automaton(monkeypatch):
+    r = random.Random(16)
+    globs = ["".join(r.choice("ab*") for _ in range(r.randrange(1, 90))) for _ in range(30)]
+    texts = ["".join(r.choice("ab") for _ in range(r.randrange(0, 90))).encode() for _ in range(60)]
+    auto = urlfilter.compile_globs(globs)
+    want = auto.run(texts)
+    monkeypatch.setattr(urlfilter, "LONG", 40)
+    monkeypatch.setattr(urlfilter, "TABLE", 64)
+    assert (auto.run(texts) == want).all()
+
+
 def test_automaton_against_regex():
     r = random.Random(6)
     globs = ["".join(r.choice("ab*") for _ in range(r.randrange(1, 40))) for _ in range(40)] + ["*", "a**b"]
