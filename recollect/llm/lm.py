@@ -8,9 +8,11 @@ own entries ask for.
 
 The filter is one and the same at any size, and so are its probes and the scores; what the size decides is where a pair is probed.
 The filter and the table of single counts are broadcast if together they hold at most MAX_BROADCAST bytes, which is checked before
-anything is collected. Beyond, the filter stays where its segments lie, and pairs go to their segment and are probed there; tokens
-meet their counts by a join, but for the frequent ones (a thousandth of all tokens or more, so a thousand at most), which are
-broadcast, so that no token is a hot key.
+pairs are counted: a filter has at most as many entries as there are training tokens. Beyond, nothing is collected: the texts of a
+run of documents stay together, and the run sends each of its distinct tokens and pairs once, with its own count of them, to the
+segment they belong to. There the counts meet, the filter is built, and the same rows are answered in their order; the answers go
+back to the run. So a pair travels once for both counting and probing, a frequent token brings a row a run, and no row is made for
+a pair of a document.
 
 All probes of an entry fall into one block of 512 bits, a line of the processor's cache.
 
@@ -28,19 +30,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, keep, ship, text_of
 from .near import _mix
-from .words import hash_each, runs, split_words, word_hashes
+from .words import bytes_of, hash_each, runs, split_words, word_hashes
 
 MAX_BROADCAST = 256 * 1024 * 1024
 SEGMENT_BITS = 12
 BITS_PER_ENTRY, PROBES = 10, 6
 BLOCK_BITS = 512
-#: A token is frequent from one in so many on.
+#: Only tests still set this: a token is asked for once a run, so that a frequent one needs no way of its own.
 FREQUENT = 1000
+#: Bytes of text that ask together where the model is not broadcast.
+ASK = 8_000_000
 #: Weight of the smoothing, in tokens.
 SMOOTHING = 4.0
 _FLUSH = 4_000_000
@@ -150,14 +156,18 @@ class Model:
 
     def score(self, run: Run) -> list[np.ndarray]:
         """Tokens, known tokens, base score and score of each text. Each distinct token and pair is looked up once."""
-        count = self.single(run.distinct)
-        one = add_one(count, self.n, self.v)
         distinct, which = np.unique(pairs(run.hashes), return_inverse=True)
-        c, single = count[run.codes], one[run.codes]
-        before = np.append(count[-1], c[:-1])
-        p = smoothed(counted_as(self.levels(distinct))[which], before, single)
-        total = lambda x: np.add.reduceat(x, run.first)
-        return [run.size, total((c > 0).astype(np.int64)), total(np.log10(one)[run.codes]), total(np.log10(p))]
+        return scored(run, self.single(run.distinct), self.levels(distinct)[which], self.n, self.v)
+
+
+def scored(run: Run, count: np.ndarray, lv: np.ndarray, n: int, v: int) -> list[np.ndarray]:
+    """The same from the counts of the run's distinct tokens and the levels of its pairs."""
+    one = add_one(count, n, v)
+    c, single = count[run.codes], one[run.codes]
+    before = np.append(count[-1], c[:-1])
+    p = smoothed(counted_as(lv), before, single)
+    total = lambda x: np.add.reduceat(x, run.first)
+    return [run.size, total((c > 0).astype(np.int64)), total(np.log10(one)[run.codes]), total(np.log10(p))]
 
 
 def add_one(c, n: int, v: int):
@@ -243,20 +253,21 @@ def segments(train: DataFrame) -> DataFrame:
 _SCORE = "n_tokens long, n_known long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, train: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    spark = docs.sparkSession
-    ship(spark)
-    singles = keep(single_counts(train))
+def score_documents(docs: DataFrame, train: DataFrame | Column, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of docs. train: documents, or the condition that rows of
+    docs meet which are to be learnt from."""
+    ship(docs.sparkSession)
+    own = docs.where(train) if isinstance(train, Column) else train
+    singles = keep(single_counts(own))
     n, v = singles.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    filters = keep(segments(train))
-    size = 16 * v + filters.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0]
-    if size <= max_broadcast:
+    most = 16 * v + n * BITS_PER_ENTRY // 8 + (BLOCK_BITS // 8 << SEGMENT_BITS)  # a level is at most its count
+    if most <= max_broadcast:
+        filters = keep(segments(own))
         out = _by_broadcast(docs, singles, filters, n, v)
+        forget(singles, filters)  # the model holds them
     else:
-        out = _by_join(docs, filters, singles, n, v)
-        return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    forget(singles, filters)  # the model holds them
+        forget(singles)
+        out = keep(_by_segment(docs, train, n, v))
     return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -294,54 +305,119 @@ def probed(docs: DataFrame, filters: DataFrame) -> DataFrame:
     return asked.groupBy("segment").cogroup(filters.groupBy("segment")).applyInPandas(probe, "pair long, lv long")
 
 
-def _counted(rows: DataFrame, key: str, singles: DataFrame, n: int, into: str, spread: str) -> DataFrame:
-    """rows with the count of the token in column key, 0 where it has none. Frequent tokens find it in a broadcast table of FREQUENT rows
-    at most, so that none of them is a hot key of the join; there they go by the column `spread` instead, and find nothing."""
-    often = singles.where(F.col("n") * FREQUENT >= n).select(F.col("h").alias(key), F.col("n").alias("often"))
-    seldom = singles.where(F.col("n") * FREQUENT < n).select(F.col("h").alias("seldom_key"), F.col("n").alias("seldom"))
-    met = rows.join(F.broadcast(often), key, "left").withColumn("own_key", F.when(F.col("often").isNull(), F.col(key)).otherwise(F.col(spread)))
-    met = met.join(seldom, met["own_key"] == seldom["seldom_key"], "left")
-    return met.withColumn(into, F.coalesce("often", "seldom", F.lit(0))).drop("often", "seldom", "seldom_key", "own_key")
+def _cut(h: np.ndarray) -> np.ndarray:
+    """Where the segments of sorted hashes begin, and the last ends."""
+    bounds = np.arange(1, 1 << SEGMENT_BITS, dtype=_U) << _U(64 - SEGMENT_BITS)
+    return np.concatenate([[0], np.searchsorted(h, bounds), [len(h)]])
+
+
+def _blobs(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """values[cut[i]:cut[i + 1]] as binary i."""
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _read(blobs: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all blobs one after the other, and where each blob begins (and the last ends)."""
+    blobs = pa.concat_arrays(blobs.chunks) if blobs.num_chunks != 1 else blobs.chunk(0)
+    at, data = bytes_of(blobs)
+    return data[at[0] : at[-1]].view(kind), (at - at[0]) // np.dtype(kind).itemsize
+
+
+def _asked(h: np.ndarray, n: np.ndarray) -> list[pa.Array]:
+    """Sorted hashes and counts by segment. The segment knows its own 12 bits: the next 4 are a byte, which repeats, the rest are 6."""
+    cut, raw = _cut(h), h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return [_blobs(np.ascontiguousarray(raw[:, :6]), cut), _blobs(raw[:, 6] & np.uint8(15), cut), _blobs(n.astype("<u4"), cut)]
+
+
+def _met(segment: int, low: pa.ChunkedArray, high: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of a segment and their counts over all runs; for what was asked, its place among them, and where each run begins."""
+    top, at = _read(high, "u1")
+    raw = np.zeros((len(top), 8), np.uint8)
+    raw[:, :6], raw[:, 6] = _read(low, "u1")[0].reshape(-1, 6), top
+    h = raw.view("<u8").ravel() | (_U(segment) << _U(64 - SEGMENT_BITS))
+    distinct, which = np.unique(h, return_inverse=True)
+    count = np.bincount(which, _read(n, "<u4")[0], len(distinct)).astype(np.int64)
+    return distinct, count, which, at
+
 
+def _distinct(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens, sorted, and which of them each of run.distinct is; distinct pairs, sorted, and which of them each token ends."""
+    return *np.unique(run.distinct, return_inverse=True), *np.unique(pairs(run.hashes), return_inverse=True)
 
-def _by_join(docs: DataFrame, filters: DataFrame, singles: DataFrame, n: int, v: int) -> DataFrame:
-    """The same by joins: rows are (document, pair, how often), reduced within the document first."""
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "pair", "before", "token", "times"]
+def _by_segment(docs: DataFrame, train: DataFrame | Column, n: int, v: int) -> DataFrame:
+    """The same where nothing is collected: runs ask, segments answer."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if isinstance(train, Column):
+        own = docs.select("doc_id", text_of().alias("t"), F.coalesce(train, F.lit(False)).alias("counted"), F.lit(True).alias("scored"))
+    else:
+        own = docs.select("doc_id", text_of().alias("t"), F.lit(False).alias("counted"), F.lit(True).alias("scored"))
+        own = own.unionAll(train.select(F.lit(None).cast(kind).alias("doc_id"), text_of(), F.lit(True), F.lit(False)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["run", "docs"])
+
         for b in batches:
-            keys = b.column(0).to_numpy()
-            for lo, hi in runs(b.column(1)):
-                run = Run(b.column(1).slice(lo, hi - lo))
-                h = run.hashes
-                before = np.append(np.array([_END]), h[:-1])
-                p = pairs(h)
-                text = np.repeat(np.arange(hi - lo), run.size)
-                order = np.lexsort((p, text))
-                first = np.flatnonzero(np.append(True, (p[order][1:] != p[order][:-1]) | (text[order][1:] != text[order][:-1])))
-                own = order[first]
-                times = np.diff(np.append(first, len(order)))
-                columns = [keys[lo:hi][text[own]], *(x[own].view(np.int64) for x in (p, before, h)), times.astype(np.int64)]
-                for at in range(0, len(own), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 200_000]) for c in columns], names=names)
-
-    keyed = docs.select("doc_id", text_of().alias("t")).withColumn("key", F.xxhash64("doc_id", "t"))
-    rows = keyed.select("key", "t").dropDuplicates(["key"]).mapInArrow(spread, "key long, pair long, before long, token long, times long")
-    met = rows.join(probed(docs, filters), "pair", "left").fillna(0, ["lv"])
-    met = _counted(met, "token", singles, n, "c", "pair")
-    met = _counted(met, "before", singles, n, "cb", "pair")
-    single = (F.col("c") + 1) / F.lit(float(n + 1 * (v + 1)))
-    pair = F.when(F.col("lv") > 0, (F.pow(F.lit(2.0), F.col("lv") - 1) + F.pow(F.lit(2.0), F.col("lv")) - 1) / 2).otherwise(0.0)
-    p = (F.least(pair, F.col("cb").cast("double")) + SMOOTHING * single) / (F.col("cb") + SMOOTHING)
-    sums = met.groupBy("key").agg(
-        F.sum("times").alias("n_tokens"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10(single)).alias("base_score"), F.sum(F.col("times") * F.log10(p)).alias("score"),
-    )
-    return keyed.select("doc_id", "key").join(sums, "key").drop("key")
+            for lo, hi in runs(b.column(1), ASK):
+                held.append(b.slice(lo, hi - lo))
+                size += pc.sum(pc.binary_length(held[-1].column(1))).as_py() + 16 * (hi - lo)
+                if size >= ASK // 2:
+                    yield out()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield out()
+
+    def unpack(blob: pa.Scalar) -> pa.RecordBatch:
+        return pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks().to_batches()[0]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for which, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = unpack(blob)
+                run = Run(own.column(1))
+                words, word, both, pair = _distinct(run)
+                counted = np.repeat(own.column(2).to_numpy(zero_copy_only=False), run.size)
+                of_words = np.bincount(word[run.codes[counted]], minlength=len(words))
+                of_pairs = np.bincount(pair[counted], minlength=len(both))
+                used = np.flatnonzero((np.diff(_cut(words)) > 0) | (np.diff(_cut(both)) > 0))
+                columns = [pa.array(np.full(1 << SEGMENT_BITS, which)), pa.array(np.arange(1 << SEGMENT_BITS, dtype=np.int32)), *_asked(words, of_words), *_asked(both, of_pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "segment", "w0", "w1", "w2", "p0", "p1", "p2"]).take(pa.array(used))
+
+    def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+        segment = key[0].as_py()
+        _, count, which, at = _met(segment, *(asked[c] for c in ("w0", "w1", "w2")))
+        both, seen, pair, begin = _met(segment, *(asked[c] for c in ("p0", "p1", "p2")))
+        held = [(segment, *build_segment(both[seen > 0], seen[seen > 0]))] if seen.any() else []
+        lv = Model(np.empty(0, _U), np.empty(0, np.int64), 0, 0, held).levels(both).astype(np.uint8)
+        return pa.table({"run": asked["run"], "segment": asked["segment"], "counts": _blobs(count[which], at), "levels": _blobs(lv[pair], begin)})
+
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        own = unpack(packed["docs"][0])
+        answers = answers.sort_by("segment")
+        run = Run(own.column(1))
+        words, word, both, pair = _distinct(run)
+        count, lv = _read(answers["counts"], "<i8")[0], _read(answers["levels"], "u1")[0].astype(np.int64)
+        if packed.num_rows != 1 or len(count) != len(words) or len(lv) != len(both):
+            raise RuntimeError("the documents were dealt out otherwise when they were read again")
+        made = scored(run, count[word], lv[pair], n, v)
+        return pa.table([own.column(0), *map(pa.array, made)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"]).filter(own.column(3))
+
+    # Both sides read this one exchange: runs are made once.
+    packed = own.mapInArrow(pack, "run long, docs binary").repartition("run")
+    asks = packed.mapInArrow(ask, "run long, segment int, w0 binary, w1 binary, w2 binary, p0 binary, p1 binary, p2 binary")
+    answers = asks.groupBy("segment").applyInArrow(answer, "run long, segment int, counts binary, levels binary")
+    return packed.groupBy("run").cogroup(answers.groupBy("run")).applyInArrow(score, f"doc_id {kind}, {_SCORE}")
 
 
 def op6_lm_scoring(docs: DataFrame) -> DataFrame:
     """The contract's digest."""
     own = docs.select("doc_id", "text")
-    scored = score_documents(own, own.where(~held_out()))
-    return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score_documents(own, ~held_out()).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
