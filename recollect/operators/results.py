@@ -161,6 +161,13 @@ def calibration_bins(samples: DataFrame, bins: int = 10) -> DataFrame:
     return samples.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("predicted").alias("confidence"), F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
+def _mean(c: Column) -> Column:
+    """The mean from an exact sum, so that no digit depends on partitions (for values up to a million, to 18 places; else the usual one)."""
+    x = c.cast("double")
+    plain = F.abs(x) <= 1e6
+    return F.when(F.bool_and(plain), F.sum(F.when(plain, x.cast("decimal(38,18)"))).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def calibration_errors(samples: DataFrame, bins: int = 10) -> DataFrame:
     """Expected and maximal calibration error, Brier score, rank correlation of the bins (null under three bins)."""
     by = calibration_bins(samples, bins)
@@ -174,7 +181,7 @@ def calibration_errors(samples: DataFrame, bins: int = 10) -> DataFrame:
     ranked = ranked.withColumns({"rc": rank("ct"), "ra": rank("at")})
     gap = F.abs(F.col("confidence") - F.col("accuracy"))
     errors = ranked.agg((F.sum(F.col("n") * gap) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"), F.when(F.count(F.lit(1)) >= 3, F.corr("rc", "ra")).alias("spearman"))
-    brier = samples.agg(F.avg(F.pow(F.col("predicted") - F.col("correct").cast("double"), 2)).alias("brier"))
+    brier = samples.agg(_mean(F.pow(F.col("predicted") - F.col("correct").cast("double"), 2)).alias("brier"))
     return errors.join(brier)
 
 
