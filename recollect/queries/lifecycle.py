@@ -27,7 +27,7 @@ from ..store import keep, shared_dir
 from ..streaming import observe as S
 from .graphs import _SQL_VE
 from .relational import _QUERY, _SQL_M, _SQL_Q
-from .scalar import EPISODES, _r
+from .scalar import EPISODES, _r, _r_scaled
 
 # Fixed values of the queries' own: a small lexicon, idioms, rules.
 _LEXICON = [("view", "look", 0.9), ("view", "see", 0.6), ("view", "gaze", 0.2), ("click", "press", 0.8), ("purchase", "buy", 0.95), ("purchase", "order", 0.7)]
@@ -450,7 +450,7 @@ def tired_nodes(spark, d):
     w = Window.partitionBy("who").orderBy("when", "id")
     e = T.episodes(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3")
     out = graph.fatigue_fold(e.select(F.col("who").alias("id"), (F.col("n") * 10).alias("at_ms"), (F.col("confidence") / 4).alias("amount")))
-    return out.select("id", _r(F.col("activation"), "activation"))
+    return out.select("id", _r_scaled(F.col("activation"), "activation"))
 
 
 TIRED_NODES = f"""WITH {EPISODES}, x AS (SELECT user_id AS id, a, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS n FROM e)

@@ -1,12 +1,17 @@
 """Results that SQL comparisons with tolerance do not settle: last digits, rounding."""
 
+import os
 import random
 from fractions import Fraction
 
+import duckdb
 import pytest
 
+from recollect import catalog
 from recollect.operators import results as R
 
+SF = "/root/testdata/sf0.01"
+
 
 def test_brier_score_does_not_depend_on_partitions(spark):
     r = random.Random(3)
@@ -19,3 +24,15 @@ def test_brier_score_does_not_depend_on_partitions(spark):
     assert odd["brier"] == 0.25
     none = R.calibration_errors(df.where("predicted > 2")).first()
     assert none["brier"] is None and none["ece"] is None
+
+
+# Rounding -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the supplied tables are not here")
+def test_tired_nodes_round_as_sql_does(spark):
+    """To the last digit: a node's activation lies a hair from the middle between two results."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    want = dict(con.execute(catalog.oracle_sql()["tired_nodes"]).fetchall())
+    assert {r["id"]: r["activation"] for r in catalog.queries()["tired_nodes"](spark, SF).collect()} == want
