@@ -732,7 +732,7 @@ METADATA = """SELECT event_id AS id, CASE WHEN event_id % 5 <> 0 THEN event_type
 
 def replay_means(spark, d):
     e = T.episodes(spark, d)
-    return U.running_mean(e, "who", ["when", "id"], "confidence").select("id", _r(F.col("mean"), "mean"))
+    return U.running_mean(e, "who", ["when", "id"], "confidence").select("id", _r_scaled(F.col("mean"), "mean"))
 
 
 REPLAY_MEANS = f"WITH {EPISODES} SELECT id, round(avg(a) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 6) AS mean FROM e"
