@@ -27,3 +27,9 @@ def test_texts_without_a_word_are_in_all(spark):
     rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "c d e f")], "id long, what string").withColumn("o", F.col("id"))
     got = {(r["anchor_id"], r["id"], r["rank"]) for r in context.containing(rows, rows, "what", 5, "o").collect()}
     assert got == {(1, 2, 1), (2, 4, 1), (2, 1, 2), (4, 2, 1)}
+
+
+def test_contained_texts_asks_for_every_part(spark, tmp_path):
+    spark.range(45).select(F.col("id").alias("p_partkey"), F.concat(F.lit("old "), F.element_at(F.array(F.lit("nut"), F.lit("bolt")), (F.col("id") % 2 + 1).cast("int"))).alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.queries()["contained_texts"](spark, str(tmp_path)).collect()
+    assert {r["anchor_id"] for r in got} == set(range(45)) and len(got) == 45 * 5
