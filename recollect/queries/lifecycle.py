@@ -234,7 +234,7 @@ SELECT DISTINCT k.id, round(coalesce(CASE WHEN c IS NULL THEN ab ELSE 0.3 * c +
 def cold_content(spark, d):
     e = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("what"))
     word = "blue"
-    return Q.by_content_cold(e, Q.SemanticCue(word, 0.2, 100_000)).select("id", _r(F.col("score"), "score"))
+    return Q.by_content_cold(e, Q.SemanticCue(word, 0.2, None)).select("id", _r(F.col("score"), "score"))
 
 
 COLD_CONTENT = """WITH p AS (SELECT p_partkey AS id, lower(p_name) AS t, list_distinct(list_filter(string_split_regex(lower(p_name), '\\s+'), lambda w: w <> '')) AS ws FROM part),
@@ -246,10 +246,10 @@ def cues_dispatched(spark, d):
     e = T.episodes(spark, d).withColumn("where", F.lit(None).cast("string"))
     m = T.memories(spark, d)
     asked = [
-        ("after", Q.recall(e, Q.TemporalCue("after", datetime(2024, 1, 20), limit=10_000_000), T.AS_OF)),
-        ("recent", Q.recall(e, Q.TemporalCue("recent", hours=240.0, limit=10_000_000), T.AS_OF)),
-        ("context", Q.recall(e, Q.ContextCue(datetime(2024, 1, 5), datetime(2024, 1, 6), limit=10_000_000))),
-        ("embedding", Q.recall(m, Q.EmbeddingCue(_QUERY, 0.1, 10_000_000))),
+        ("after", Q.recall(e, Q.TemporalCue("after", datetime(2024, 1, 20), limit=None), T.AS_OF)),
+        ("recent", Q.recall(e, Q.TemporalCue("recent", hours=240.0, limit=None), T.AS_OF)),
+        ("context", Q.recall(e, Q.ContextCue(datetime(2024, 1, 5), datetime(2024, 1, 6), limit=None))),
+        ("embedding", Q.recall(m, Q.EmbeddingCue(_QUERY, 0.1, None))),
     ]
     out = None
     for name, found in asked:
