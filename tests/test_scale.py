@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import catalog
-from recollect.operators import context
+from recollect.operators import context, cues
 
 
 def test_equal_texts_meet_others_once(spark):
@@ -33,3 +33,19 @@ def test_contained_texts_asks_for_every_part(spark, tmp_path):
     spark.range(45).select(F.col("id").alias("p_partkey"), F.concat(F.lit("old "), F.element_at(F.array(F.lit("nut"), F.lit("bolt")), (F.col("id") % 2 + 1).cast("int"))).alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
     got = catalog.queries()["contained_texts"](spark, str(tmp_path)).collect()
     assert {r["anchor_id"] for r in got} == set(range(45)) and len(got) == 45 * 5
+
+
+def test_cold_content_has_all_parts_that_match(spark, tmp_path):
+    """More than the 100,000 rows that the query once stopped at."""
+    spark.range(100_200).select(F.col("id").alias("p_partkey"), F.when(F.col("id") < 100_100, "blue ring").otherwise("old nut").alias("p_name")).write.parquet(str(tmp_path / "part.parquet"))
+    duckdb.execute(f"CREATE OR REPLACE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = duckdb.execute(f"SELECT count(*), sum(id) FROM ({catalog.oracle_sql()['cold_content']})").fetchall()[0]
+    assert catalog.queries()["cold_content"](spark, str(tmp_path)).agg(F.count("id"), F.sum("id")).first()[:] == want == (100_100, 100_099 * 100_100 // 2)
+
+
+def test_a_cue_without_a_limit_has_all(spark):
+    e = spark.range(300).select("id", F.lit("blue").alias("what"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    assert cues.by_content_cold(e, cues.SemanticCue("blue", 0.2, None)).count() == 300
+    assert cues.by_content(e, cues.SemanticCue("blue", 0.2, None)).count() == 300
+    assert cues.by_embedding(e, cues.EmbeddingCue((1.0, 0.0), 0.2, None)).count() == 300
+    assert cues.by_content_cold(e, cues.SemanticCue("blue")).count() == 75
