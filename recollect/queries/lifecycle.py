@@ -386,7 +386,7 @@ SELECT id, CASE WHEN l AND m THEN 'concurrent' WHEN l THEN 'before' WHEN m THEN
 
 
 def seeds(spark, d):
-    s = P.seed(T.memories(spark, d), Q.EmbeddingCue(_QUERY, 0.1, 10_000), 0.5)
+    s = P.seed(T.memories(spark, d), Q.EmbeddingCue(_QUERY, 0.1, None), 0.5)
     return s.select("id", _r(F.col("activation"), "activation"), _r(F.col("confidence"), "confidence"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recollect import catalog
 from recollect.operators import context, cues
+from recollect.queries.relational import _QUERY
 
 
 def test_equal_texts_meet_others_once(spark):
@@ -49,3 +50,10 @@ def test_a_cue_without_a_limit_has_all(spark):
     assert cues.by_content(e, cues.SemanticCue("blue", 0.2, None)).count() == 300
     assert cues.by_embedding(e, cues.EmbeddingCue((1.0, 0.0), 0.2, None)).count() == 300
     assert cues.by_content_cold(e, cues.SemanticCue("blue")).count() == 75
+
+
+def test_seeds_are_all_that_reach_the_threshold(spark, tmp_path):
+    """More than the 10,000 rows that the query once stopped at."""
+    v = F.array(*(F.lit(x).cast("float") for x in _QUERY))
+    spark.range(10_050).select(F.col("id").alias("vec_id"), v.alias("embedding"), F.lit(0).alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalog.queries()["seeds"](spark, str(tmp_path)).count() == 10_050
