@@ -1,4 +1,4 @@
-"""Nearest neighbours by vector, in blocks; an inverted-file index for approximate search; similarity links."""
+"""Nearest neighbours by vector, in cells; an inverted-file index for approximate search; similarity links."""
 
 from __future__ import annotations
 
@@ -12,56 +12,20 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import matrix
 from ..store import ship
+from . import cells
 
-#: Vectors in a block: 64 doubles each make a block of 2 MB.
+#: Queries that meet a list at once.
 BLOCK = 4096
 
 
-def blocks(df: DataFrame, key: str = "id", vector: str = "embedding", size: int = BLOCK) -> DataFrame:
-    """Rows of (ids, vectors as bytes of unit-length doubles, width): as many vectors to a row as `size`, in the order met."""
-    ship(df.sparkSession)
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), size):
-                part = b.iloc[at : at + size]
-                m = matrix(part["v"])
-                n = np.linalg.norm(m, axis=1, keepdims=True)
-                m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-                yield pd.DataFrame({"ids": [part["k"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "width": [m.shape[1]]})
-
-    return df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).mapInPandas(pack, "ids binary, vectors binary, width int")
-
-
-def _scores(q: bytes, c: bytes, width: int) -> np.ndarray:
-    a, b = np.frombuffer(q).reshape(-1, width), np.frombuffer(c).reshape(-1, width)
-    return a @ b.T
-
-
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = -1.0, key: str = "id", vector: str = "embedding", digits: int = 6) -> DataFrame:
     """query_id, id, score (cosine, rounded), rank: for each query its k best other rows of the corpus from the threshold on.
 
-    A stated query set against all rows: blocks of queries meet blocks of the corpus, each pair of blocks is one matrix product,
-    and only the k best of a pair go on. Equal scores rank by id."""
-    ship(corpus.sparkSession)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                if r.qw != r.cw:
-                    raise ValueError(f"vectors of {r.qw} and {r.cw} dimensions")
-                qi, ci = np.frombuffer(r.qids, np.int64), np.frombuffer(r.cids, np.int64)
-                s = np.round(_scores(r.qv, r.cv, r.qw), digits) + 0.0
-                s[qi[:, None] == ci[None, :]] = -2
-                m = min(k + 1, s.shape[1])
-                floor = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
-                row, col = np.nonzero((s >= np.maximum(floor, threshold)) & (s > -2))
-                out = pd.DataFrame({"query_id": qi[row], "id": ci[col], "score": s[row, col]}).sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-                yield out.groupby("query_id", sort=False).head(k)
-
-    q = blocks(queries, key, vector).select(F.col("ids").alias("qids"), F.col("vectors").alias("qv"), F.col("width").alias("qw"))
-    c = blocks(corpus, key, vector).select(F.col("ids").alias("cids"), F.col("vectors").alias("cv"), F.col("width").alias("cw"))
-    near = c.crossJoin(q).mapInPandas(best, "query_id long, id long, score double")  # block by block, not row by row
+    A stated query set against all rows: parts of the queries meet parts of the corpus in cells, and only the k best of a cell go on.
+    Equal scores rank by id."""
+    q = cells.packed(queries, [], key, vector)
+    c = q if queries is corpus else cells.packed(corpus, [], key, vector)
+    near = cells.meet(q, c, [], lambda left, same: cells.Best(left, k, threshold, digits, ["query_id", "id", "score"]), "query_id long, id long, score double", most=max(64, min(cells.MOST, 2**22 // max(k, 1))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -130,36 +94,7 @@ def ivf_join(queries: DataFrame, corpus: DataFrame, k: int = 10, lists: int = 64
 
 
 def similarity_links(df: DataFrame, threshold: float, key: str = "id", vector: str = "embedding", by: list[str] | None = None, digits: int = 6) -> DataFrame:
-    """a, b (a < b), score of the rows from the threshold on; within the groups of `by` if given, else over all, block by block.
-
-    Groups are dealt out to as many parts as the largest needs for parts of BLOCK rows; parts meet two by two."""
-    ship(df.sparkSession)
-    keys = by or []
-
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                x, y = np.frombuffer(r.a_ids, np.int64), np.frombuffer(r.b_ids, np.int64)
-                s = np.round(_scores(r.a_v, r.b_v, r.a_w), digits) + 0.0
-                row, col = np.nonzero((s >= threshold) & (x[:, None] < y[None, :]))
-                yield pd.DataFrame({"a": x[row], "b": y[col], "score": s[row, col]})
-
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = matrix(pdf["v"])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        head = {c: [pdf[c].iloc[0]] for c in keys}
-        return pd.DataFrame(head | {"ids": [pdf["k"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()], "width": [m.shape[1]]})
-
-    if keys:
-        largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-        parts = -(-largest // BLOCK)
-        salted = df.where(F.col(vector).isNotNull()).select(*keys, F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).withColumn("_salt", F.pmod(F.xxhash64("k"), F.lit(parts)))
-        kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-        packed = salted.groupBy(*keys, "_salt").applyInPandas(grouped, f"{kinds}, ids binary, vectors binary, width int")
-    else:
-        packed = blocks(df, key, vector)
-    a = packed.select(*keys, *(F.col(c).alias(n) for c, n in (("ids", "a_ids"), ("vectors", "a_v"), ("width", "a_w"))))
-    b = packed.select(*keys, *(F.col(c).alias(n) for c, n in (("ids", "b_ids"), ("vectors", "b_v"))))
-    met = a.join(b, keys) if keys else a.crossJoin(b)
-    return met.select("a_ids", "a_v", "a_w", "b_ids", "b_v").mapInPandas(links, "a long, b long, score double")
+    """a, b (a < b), score of the rows from the threshold on; within the groups of `by` if given, else over all. Parts of a group meet
+    two by two in cells; what a tile of a cell finds goes on before the next is met."""
+    p = cells.packed(df, by or [], key, vector)
+    return cells.meet(p, p, by or [], lambda left, same: cells.Links(left, same, threshold, digits), "a long, b long, score double", half=True)

@@ -1,6 +1,7 @@
 """Many rows of few texts, vectors or keys: results stay those of plain loops, and work stays near the rows."""
 
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import catalog
-from recollect.operators import context, cues
+from recollect.operators import cells, context, cues, nearest
 from recollect.queries.relational import _QUERY
 
 
@@ -57,3 +58,55 @@ def test_seeds_are_all_that_reach_the_threshold(spark, tmp_path):
     v = F.array(*(F.lit(x).cast("float") for x in _QUERY))
     spark.range(10_050).select(F.col("id").alias("vec_id"), v.alias("embedding"), F.lit(0).alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalog.queries()["seeds"](spark, str(tmp_path)).count() == 10_050
+
+
+def vectors(spark, ids, v, **more):
+    names = ["id", "embedding", *more]
+    rows = list(zip(ids.tolist(), v.tolist(), *(x.tolist() for x in more.values()), strict=True))
+    return spark.createDataFrame(rows, ", ".join(["id long", "embedding array<double>", *(f"{c} long" for c in more)]))
+
+
+def nearest_by_hand(ids, s, k, least):
+    """(query, id): score, rank of a whole table of scores."""
+    out = {}
+    for i in range(len(ids)):
+        own = sorted((-s[i, j], ids[j]) for j in range(len(ids)) if ids[j] != ids[i] and s[i, j] >= least)[:k]
+        out |= {(int(ids[i]), int(j)): (round(-x, 6), n + 1) for n, (x, j) in enumerate(own)}
+    return out
+
+
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Parts, chunks and tiles of a few rows, so that few rows make many cells."""
+    for name, n in {"BLOCK": 16, "MOST": 64, "LEAST": 16, "CHUNK": 24, "TILE": 8}.items():
+        monkeypatch.setattr(cells, name, n)
+
+
+def test_neighbours_over_many_cells_with_ties(spark, small_cells):
+    """Vectors of few values, so that many scores are equal, against a plain loop; zero and incomplete vectors among them."""
+    r = np.random.default_rng(5)
+    ids, v = r.permutation(400)[:300].astype(np.int64), r.integers(-1, 2, (300, 4)).astype(float)
+    u = v / np.where(n := np.linalg.norm(v, axis=1, keepdims=True), n, 1)
+    s = np.round(u @ u.T, 6) + 0.0
+    df = vectors(spark, ids, v)
+    got = {(x["query_id"], x["id"]): (x["score"], x["rank"]) for x in nearest.knn_join(df, df, 6, 0.1).collect()}
+    assert got == nearest_by_hand(ids, s, 6, 0.1)
+    g = ids % 3
+    links = {(x["a"], x["b"]): x["score"] for x in nearest.similarity_links(vectors(spark, ids, v, g=g), 0.6, by=["g"]).collect()}
+    assert links == {(int(ids[i]), int(ids[j])): s[i, j] for i in range(300) for j in range(300) if g[i] == g[j] and ids[i] < ids[j] and s[i, j] >= 0.6}
+    assert len(nearest.similarity_links(df, 0.6).collect()) == sum(s[i, j] >= 0.6 for i in range(300) for j in range(i))
+
+
+def test_a_cell_is_bounded_by_its_part():
+    """16,384 rows against 4,096: a table of all scores would be 537 MB."""
+    r = np.random.default_rng(6)
+    side = lambda n: cells.Side([(np.arange(n), r.normal(size=(n, 64)).astype(np.float32), [])])
+    worker = cells.Best(side(16_384), 5, 0.0, 6, ["query_id", "id", "score"])
+    links = cells.Links(side(16_384), False, 0.3, 6)
+    right = side(4096)
+    tracemalloc.start()
+    list(worker.add(right))
+    assert sum(b.num_rows for b in links.add(side(4096))) > 0
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6 and len(next(worker.done())) == 16_384 * 5
