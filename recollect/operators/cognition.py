@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from ..functions.confidence import _c, clamp
-from ..store import ship
+from . import cells
 
 
 def _micros(c: str) -> Column:
@@ -31,57 +30,81 @@ def within(left: DataFrame, right: DataFrame, hours: float, by: list[str] | None
     return met.where((F.col("_rt") < F.col("_lt")) & (F.col("_rt") >= F.col("_lt") - size)).select("l", "r", ((F.col("_lt") - F.col("_rt")) / 3.6e9).alias("hours"))
 
 
-#: Rows of a block of one time bucket.
-BLOCK = 2048
-
-
-def _interference(episodes: DataFrame, hours: float, least: float, by: list[str] | None, of_later: bool) -> DataFrame:
+class Windows:
+    """id, n, total: for each row of one side how many of the other lie in its window and are of similarity `least` or more, and the sum of
+    (s - .6)/.4 over them (0 if it is not asked for). Left rows are the later ones. Both sides are put in the order of time, so that a row's
+    window is a range of columns and tiles outside all windows are not worked out."""
+
+    def __init__(self, left: cells.Side, size: int, least: float, of_later: bool, mean: bool, digits: int = 6):
+        self.left, self.size, self.least, self.of_later, self.mean, self.digits = self.in_order(left), size, least, of_later, mean, digits
+        self.n, self.total = np.zeros(len(self.left.ids), np.int64), np.zeros(len(self.left.ids))
+
+    def in_order(self, side: cells.Side) -> cells.Side:
+        side = side.unit()
+        side.take(order := np.argsort(side.more[0], kind="stable"))
+        side.single = side.single[order]
+        return side
+
+    def add(self, right: cells.Side) -> Iterator[pa.RecordBatch]:
+        right = self.in_order(right)
+        n, total = np.zeros(len(right.ids), np.int64), np.zeros(len(right.ids))
+        off, times = cells.margin(right.vectors.shape[1], self.digits), right.more[0]
+        for at in range(0, len(self.left.ids), cells.TILE):
+            t = self.left.more[0][at : at + cells.TILE]
+            low, high = np.searchsorted(times, t - self.size, "left"), np.searchsorted(times, t, "left")
+            first, last = low[0], high[-1]
+            if first >= last:
+                continue
+            s = self.left.single[at : at + cells.TILE] @ right.single[first:last].T
+            hit = s >= np.float32(self.least + off)
+            near = np.flatnonzero((s >= np.float32(self.least - off)) ^ hit)  # too near to tell
+            row, col = np.divmod(near, last - first)
+            hit[row, col] = cells.exact(self.left, at, right, row, col + first, self.digits) >= self.least
+            if low[-1] > first or high[0] < last:
+                place = np.arange(first, last)
+                hit &= (place >= low[:, None]) & (place < high[:, None])
+            own = slice(at, at + len(t))
+            self.n[own] += np.count_nonzero(hit, axis=1)
+            n[first:last] += np.count_nonzero(hit, axis=0)
+            if self.mean:
+                row, col = np.divmod(np.flatnonzero(hit), last - first)
+                w = (cells.exact(self.left, at, right, row, col + first, self.digits) - 0.6) / 0.4
+                self.total[own] += np.bincount(row, w, len(t))
+                total[first:last] += np.bincount(col, w, last - first)
+        if not self.of_later:
+            yield from self.found(right.ids, n, total)
+
+    def found(self, ids: np.ndarray, n: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        some = n > 0
+        yield from cells.batches(["id", "n", "total"], [ids[some], n[some], total[some]])
+
+    def done(self) -> Iterator[pa.RecordBatch]:
+        if self.of_later:
+            yield from self.found(self.left.ids, self.n, self.total)
+
+
+def _interference(episodes: DataFrame, hours: float, least: float, by: list[str] | None, of_later: bool, mean: bool) -> DataFrame:
     """id, n, m: for each later (or else earlier) episode how many others of similarity `least` or more lie in its window before (after)
-    it, and the mean of (s - .6)/.4 over them.
-
-    Time is cut into buckets as long as the window, buckets into blocks of about BLOCK rows; blocks of a bucket meet those of the bucket
-    and of the one before it. A pair of blocks is one matrix product, of which only a row for each episode goes on. Unit vectors stay
-    packed, so that no pair of rows is ever made."""
-    ship(episodes.sparkSession)
-    size, keys = int(hours * 3.6e9), by or []
-    rows = episodes.where(F.col("embedding").isNotNull()).select(*keys, F.col("id").cast("long").alias("k"), _micros("when").alias("t"), F.col("embedding").alias("v")).withColumn("bucket", F.floor(F.col("t") / size))
-    largest = rows.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(-(-largest // BLOCK))))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = V.matrix(pdf["v"])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-        head = {c: [pdf[c].iloc[0]] for c in [*keys, "bucket", "part"]}
-        return pd.DataFrame(head | {"ids": [pdf["k"].to_numpy(np.int64).tobytes()], "times": [pdf["t"].to_numpy(np.int64).tobytes()], "vectors": [m.tobytes()]})
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                li, ri, lt, rt = (np.frombuffer(x, np.int64) for x in (r.l_ids, r.r_ids, r.l_times, r.r_times))
-                s = np.round(np.frombuffer(r.l_vectors).reshape(len(li), -1) @ np.frombuffer(r.r_vectors).reshape(len(ri), -1).T, 6)
-                hit = (rt[None, :] < lt[:, None]) & (rt[None, :] >= lt[:, None] - size) & (s >= least)
-                axis, ids = (1, li) if of_later else (0, ri)
-                n = hit.sum(axis=axis)
-                some = n > 0
-                yield pd.DataFrame({"id": ids[some], "n": n[some], "total": np.where(hit, (s - 0.6) / 0.4, 0).sum(axis=axis)[some]})
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*keys, "bucket", "part"])
-    packed = rows.groupBy(*keys, "bucket", "part").applyInPandas(pack, f"{kinds}, ids binary, times binary, vectors binary")
-    left = packed.select(*keys, F.explode(F.array(F.col("bucket"), F.col("bucket") - 1)).alias("bucket"), *(F.col(c).alias(f"l_{c}") for c in ("ids", "times", "vectors")))
-    right = packed.select(*keys, "bucket", *(F.col(c).alias(f"r_{c}") for c in ("ids", "times", "vectors")))
-    met = left.join(right, [*keys, "bucket"]).drop(*keys, "bucket").mapInPandas(meet, "id long, n long, total double")
+    it, and the mean of (s - .6)/.4 over them (if asked for).
+
+    Time is cut into buckets as long as the window; parts of a bucket meet those of the bucket and of the one before it in cells, of which
+    only a row for each episode goes on: no pair of rows is ever made, and a full bucket is no one task's."""
+    size, keys = int(hours * 3.6e9), [*(by or []), "_bucket"]
+    rows = episodes.withColumn("_t", _micros("when")).where(F.col("_t").isNotNull()).withColumn("_bucket", F.floor(F.col("_t") / size))
+    right = cells.packed(rows, keys, more=("_t",))
+    left = right.withColumn("_bucket", F.explode(F.array(F.col("_bucket"), F.col("_bucket") - 1)))
+    met = cells.meet(left, right, keys, lambda own, same: Windows(own, size, least, of_later, mean), "id long, n long, total double")
     return met.groupBy("id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("m"))
 
 
 def proactive(episodes: DataFrame, hours: float = 6.0, least: float = 0.7, by: list[str] | None = None, each: float = 0.05, most: float = 0.3) -> DataFrame:
     """id, n, magnitude: earlier similar episodes within the window interfere, min(.05 n, .3)."""
-    return _interference(episodes, hours, least, by, True).select("id", "n", F.least(each * F.col("n"), F.lit(most)).alias("magnitude"))
+    return _interference(episodes, hours, least, by, True, False).select("id", "n", F.least(each * F.col("n"), F.lit(most)).alias("magnitude"))
 
 
 def retroactive(episodes: DataFrame, hours: float = 24.0, least: float = 0.6, by: list[str] | None = None, most: float = 0.25) -> DataFrame:
     """id, n, magnitude of the later similar episodes' interference: min(.15 * mean((s - .6)/.4) * sqrt n, .25)."""
-    return _interference(episodes, hours, least, by, False).select("id", "n", F.least(0.15 * F.col("m") * F.sqrt("n"), F.lit(most)).alias("magnitude"))
+    return _interference(episodes, hours, least, by, False, True).select("id", "n", F.least(0.15 * F.col("m") * F.sqrt("n"), F.lit(most)).alias("magnitude"))
 
 
 def apply_interference(confidence, magnitude) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import catalog
-from recollect.operators import cells, context, cues, nearest
+from recollect.operators import cells, cognition, context, cues, nearest
 from recollect.queries.relational import _QUERY
 
 
@@ -110,3 +110,28 @@ def test_a_cell_is_bounded_by_its_part():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 60e6 and len(next(worker.done())) == 16_384 * 5
+
+
+@pytest.mark.parametrize("later", [True, False])
+def test_interference_over_many_cells(spark, small_cells, later):
+    """All of one time bucket, or of two, against a plain loop; a bucket is many tasks'."""
+    r = np.random.default_rng(7)
+    ids, hours, v = np.arange(240), r.integers(0, 14, 240), r.normal(size=(240, 6))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    df = vectors(spark, ids, v, h=hours).withColumn("when", F.timestamp_seconds(1_704_067_200 + 3600 * F.col("h")))
+    hit = (hours[None, :] < hours[:, None]) & (hours[None, :] >= hours[:, None] - 10) & (s >= 0.2)
+    axis = 1 if later else 0
+    n, m = hit.sum(axis=axis), np.where(hit, (s - 0.6) / 0.4, 0).sum(axis=axis)
+    if later:
+        found = cognition.proactive(df, 10.0, 0.2, each=0.001, most=1.0)
+        want = {int(i): (n[i], min(0.001 * n[i], 1.0)) for i in ids if n[i]}
+    else:
+        found = cognition.retroactive(df, 10.0, 0.2)
+        want = {int(i): (n[i], min(0.15 * m[i] / n[i] * n[i] ** 0.5, 0.25)) for i in ids if n[i]}
+    got = {x["id"]: (x["n"], x["magnitude"]) for x in found.collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert {i: x[1] for i, x in got.items()} == pytest.approx({i: x[1] for i, x in want.items()})
+    one = df.where("h < 8")
+    packed = cells.packed(one.withColumn("_b", F.lit(0)), ["_b"])
+    assert cells.meet(packed, packed, ["_b"], lambda own, same: cells.Links(own, same, 0.9, 6), "a long, b long, score double").rdd.getNumPartitions() > 20
