@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,14 +76,25 @@ def idioms(queries: DataFrame, table: DataFrame, term: str = "query") -> DataFra
     return lexicon_lookup(queries, table.select("term", "variant", F.lit(0.9).alias("confidence")), term)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it stands in there: an expression that is named twice is run twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic vector: for dimension j, chunk c = j mod chunks of eight characters: (sum of its codes * (j + 1) mod 1000) / 1000; unit length."""
-    t = F.coalesce(text, F.lit(""))
-    chunks = F.greatest(F.ceil(F.char_length(t) / 8), F.lit(1)).cast("int")
-    codes = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.aggregate(F.split(F.substring(t, c * 8 + 1, F.lit(8)), ""), F.lit(0).cast("long"), lambda s, x: s + F.ascii(x)))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: ((F.element_at(codes, (j % chunks + 1).cast("int")) * (j + 1)) % 1000) / 1000.0)
-    n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw)
+
+    def codes(t: Column) -> Column:
+        chunks = F.greatest(F.ceil(F.char_length(t) / 8), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.aggregate(F.split(F.substring(t, c * 8 + 1, F.lit(8)), ""), F.lit(0).cast("long"), lambda s, x: s + F.ascii(x)))
+
+    def raw(codes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: ((F.element_at(codes, (j % F.size(codes) + 1).cast("int")) * (j + 1)) % 1000) / 1000.0)
+
+    def unit(raw: Column) -> Column:
+        return _once(F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x)), lambda n: F.when(n > 0, F.transform(raw, lambda x: x / n)).otherwise(raw))
+
+    return _once(F.coalesce(text, F.lit("")), lambda t: _once(codes(t), lambda c: _once(raw(c), unit)))
 
 
 def levenshtein_suggestion(word: Column, keywords: list[str], most: int = 2) -> Column:

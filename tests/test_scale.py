@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect import catalog
+from recollect.functions import text
 from recollect.operators import cells, cognition, context, cues, nearest
 from recollect.queries.relational import _QUERY
 
@@ -135,3 +136,12 @@ def test_interference_over_many_cells(spark, small_cells, later):
     one = df.where("h < 8")
     packed = cells.packed(one.withColumn("_b", F.lit(0)), ["_b"])
     assert cells.meet(packed, packed, ["_b"], lambda own, same: cells.Links(own, same, 0.9, 6), "a long, b long, score double").rdd.getNumPartitions() > 20
+
+
+def test_hash_embedding_works_out_its_codes_once(spark):
+    df = spark.createDataFrame([("large blue ring",), ("",), (None,)], "t string").select(text.hash_embedding(F.col("t"), 8).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ascii(") == 1
+    codes = [sum(map(ord, "large bl")), sum(map(ord, "ue ring"))]
+    raw = np.array([codes[j % 2] * (j + 1) % 1000 / 1000 for j in range(8)])
+    got = [r["v"] for r in df.collect()]
+    assert got[0] == pytest.approx(list(raw / np.linalg.norm(raw))) and got[1] == got[2] == [0.0] * 8
