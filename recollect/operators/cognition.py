@@ -143,13 +143,24 @@ def associations(events: DataFrame, group: str, item: str, seconds: float = 30.0
     return both.join(total, "prime").select("prime", "target", "n", F.least(F.col("n") / F.col("total"), F.lit(1.0)).alias("strength"))
 
 
+#: Pairs of items that a partition is to hold, so that what a task counts in memory does not grow with the table.
+PAIRS = 500_000
+
+
 def basket_associations(rows: DataFrame, basket: str, item: str, least: int = 2) -> DataFrame:
-    """src, dst, n, weight: items of the same basket, by the source's baskets. Baskets are small; items may be hot."""
-    a = rows.select(F.col(basket).alias("k"), F.col(item).alias("src")).distinct()
-    b = a.withColumnRenamed("src", "dst")
-    n = a.join(b, "k").where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    total = a.groupBy("src").agg(F.count(F.lit(1)).alias("total"))
-    return n.join(total, "src").select("src", "dst", "n", (F.col("n") / F.col("total")).alias("weight"))
+    """src, dst, n, weight: items of the same basket, by the source's baskets. Baskets are small; items may be hot.
+
+    A pair is made once, whichever way round, and counted where its likes are: pairs are too rarely the same to be summed up before they
+    travel. Rows and baskets are counted first; they say how many partitions there are to be."""
+    n, baskets = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(basket)).first()
+    partitions = max(1, -(-int(n * n / max(baskets, 1) / 2) // PAIRS))
+    sets = rows.select(F.col(basket).alias("k"), F.col(item).alias("src")).repartition(partitions, "k").groupBy("k").agg(F.sort_array(F.collect_set("src")).alias("_s"))
+    firsts = sets.where("k is not null").select("_s", F.posexplode("_s").alias("_i", "x"))
+    pairs = firsts.select("x", F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("y"))
+    often = pairs.repartition(partitions, "x", "y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    both = often.select(F.explode(F.array(F.struct(F.col("x").alias("src"), F.col("y").alias("dst")), F.struct(F.col("y").alias("src"), F.col("x").alias("dst")))).alias("e"), "n").select("e.src", "e.dst", "n")
+    total = sets.select(F.explode("_s").alias("src")).groupBy("src").agg(F.count(F.lit(1)).alias("total"))
+    return both.join(total, "src").select("src", "dst", "n", (F.col("n") / F.col("total")).alias("weight"))
 
 
 def repetition_boost(n) -> Column:

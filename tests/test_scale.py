@@ -1,7 +1,9 @@
 """Many rows of few texts, vectors or keys: results stay those of plain loops, and work stays near the rows."""
 
+import re
 import time
 import tracemalloc
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recollect import catalog
 from recollect.functions import text
-from recollect.operators import cells, cognition, context, cues, nearest
+from recollect.operators import cells, cognition, context, cues, graph, nearest
 from recollect.queries.relational import _QUERY
 
 
@@ -145,3 +147,21 @@ def test_hash_embedding_works_out_its_codes_once(spark):
     raw = np.array([codes[j % 2] * (j + 1) % 1000 / 1000 for j in range(8)])
     got = [r["v"] for r in df.collect()]
     assert got[0] == pytest.approx(list(raw / np.linalg.norm(raw))) and got[1] == got[2] == [0.0] * 8
+
+
+def test_baskets_are_dealt_out_by_their_pairs(spark, monkeypatch):
+    """Against a plain loop, with items that stand twice in a basket, and null ones; more pairs make more partitions."""
+    r = np.random.default_rng(8)
+    rows = [(int(b), int(i)) for b, i in zip(r.integers(0, 200, 1500), r.integers(0, 30, 1500) ** 2 // 30, strict=True)] + [(5, None), (None, 3), (None, 4)]
+    df = spark.createDataFrame(rows, "b long, i long")
+    sets = {b: {i for c, i in rows if c == b and i is not None} for b, _ in rows}
+    total = Counter(i for s in sets.values() for i in s)
+    n = Counter((x, y) for b, s in sets.items() if b is not None for x in s for y in s if x != y)
+    want = {p: (c, c / total[p[0]]) for p, c in n.items() if c >= 2}
+    monkeypatch.setattr(cognition, "PAIRS", 200)
+    df_edges = cognition.basket_associations(df, "b", "i")
+    assert {(x["src"], x["dst"]): (x["n"], x["weight"]) for x in df_edges.collect()} == want
+    said = df_edges._jdf.queryExecution().executedPlan().toString()
+    assert len({k for k in re.findall(r"hashpartitioning\([xy]#\d+L?, [xy]#\d+L?, (\d+)\)", said) if int(k) > 10}) == 1
+    fans = {x["id"]: x["fan"] for x in graph.fan(df_edges).collect()}
+    assert fans == {i: max(1, sum(1 for p in want if p[0] == i)) for p in want for i in p}
