@@ -168,10 +168,9 @@ def spread_hierarchical(edges: DataFrame, seeds: DataFrame, max_depth: int = 6,
 
 
 def fan(edges: DataFrame) -> DataFrame:
-    """id, fan: out-degree, at least 1 for every node."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return nodes.join(out, "id", "left").select("id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).cast("long").alias("fan"))
+    """id, fan: out-degree, at least 1 for every node. Edges are gone through once."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("n")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("n")))).alias("e")).select("e.id", "e.n")
+    return ends.groupBy("id").agg(F.greatest(F.sum("n"), F.lit(1)).cast("long").alias("fan"))
 
 
 def fan_effect(edges: DataFrame, base_ms: float = 1150.0, step_ms: float = 70.0) -> DataFrame:
