@@ -23,16 +23,79 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
+def _merged_by_centroid(m: np.ndarray, threshold: float, tile: int = 512, most: int = 65_536) -> np.ndarray:
+    """For each row the first row of its cluster: the closest pair of means merges while its cosine reaches the threshold, ties go to the
+    first pair. Each cluster knows the best one after it. Products in single precision tell which pairs can be best; only those are worked
+    out in double precision, rounded to 12 digits. Rows of clusters that went are dropped when they are half of all."""
+    n, off = len(m), (m.shape[1] + 16) * 2.0**-22
+    owner = np.arange(n)
+    first, total, size, center = np.arange(n), m.copy(), np.ones(n), _unit(m)
+    single, alive = center.astype(np.float32), np.ones(n, bool)
+    best, where = np.full(n, -2.0), np.zeros(n, np.int64)
+
+    def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        parts = [np.round((center[i[at : at + most]] * center[j[at : at + most]]).sum(axis=1), 12) for at in range(0, len(i), most)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def refresh(i: int) -> None:
+        """The best cluster after i; of equals the first."""
+        s = np.where(alive[i + 1 :], single[i + 1 :] @ single[i], np.float32(-3))
+        top = s.max(initial=-3)
+        if top < -2:
+            best[i] = -2.0
+            return
+        near = np.flatnonzero(s >= top - off) + i + 1
+        sure = exact(np.full(len(near), i), near)
+        best[i], where[i] = sure.max(), near[sure.argmax()]
+
+    for at in range(0, n, tile):
+        s = single[at : at + tile] @ single[at:].T
+        s[np.arange(s.shape[1])[None, :] <= np.arange(len(s))[:, None]] = -3
+        row, col = np.divmod(np.flatnonzero((s >= s.max(axis=1, keepdims=True) - off) & (s > -3)), s.shape[1])
+        sure = exact(at + row, at + col)
+        order = np.lexsort((col, -sure, row))
+        u, place = np.unique(row[order], return_index=True)
+        best[at + u], where[at + u] = sure[order][place], at + col[order][place]
+    while n > 1 and best[i := int(best.argmax())] >= threshold:
+        j = int(where[i])
+        owner[first[j]] = first[i]
+        total[i] += total[j]
+        size[i] += size[j]
+        center[i] = _unit((total[i] / size[i])[None, :])[0]
+        single[i] = center[i]
+        alive[j], best[j] = False, -2.0
+        stale = np.flatnonzero(((where == i) | (where == j)) & (best > -2))
+        refresh(i)
+        for k in stale:
+            if k != i:
+                refresh(int(k))
+        could = alive[:i] & (single[:i] @ single[i] >= best[:i] - off)
+        could[stale[stale < i]] = False
+        k = np.flatnonzero(could)
+        sure = exact(k, np.full(len(k), i))
+        better = (sure > best[k]) | ((sure == best[k]) & (i < where[k]))
+        best[k[better]], where[k[better]] = sure[better], i
+        if 2 * np.count_nonzero(alive) < len(alive):
+            kept, at = np.flatnonzero(alive), np.cumsum(alive) - 1
+            first, total, size, center, single, best, where, alive = first[kept], total[kept], size[kept], center[kept], single[kept], best[kept], at[where[kept]], alive[kept]
+    while (owner != owner[owner]).any():
+        owner = owner[owner]
+    return owner
+
+
 def agglomerate(ids: np.ndarray, m: np.ndarray, threshold: float, linkage: str = "centroid", hours: np.ndarray | None = None) -> np.ndarray:
     """Labels (index of the first member in id order). The closest pair merges while its similarity reaches the threshold; ties go
     to the first pair. centroid: cosine of means; average: mean neural similarity of members."""
     order = np.argsort(ids, kind="stable")
     m = m[order]
+    if linkage == "centroid":
+        label = np.empty(len(m), np.int64)
+        label[order] = order[_merged_by_centroid(m, threshold)]
+        return label
     n, u = len(m), _unit(m)
     h = hours[order] if hours is not None else None
     groups = {i: [i] for i in range(n)}  # by first member
     owner = np.arange(n)
-    center = u.copy()  # of the clusters
 
     def similarities(i: int) -> np.ndarray:
         """Of cluster i to the clusters after it (by their first members), and -2 elsewhere."""
@@ -42,8 +105,6 @@ def agglomerate(ids: np.ndarray, m: np.ndarray, threshold: float, linkage: str =
         return out
 
     def against(i: int, others: np.ndarray) -> np.ndarray:
-        if linkage == "centroid":
-            return np.round(center[others] @ center[i], 12)
         total = np.zeros(n)
         for a in groups[i]:
             cos = u @ u[a]
@@ -70,7 +131,6 @@ def agglomerate(ids: np.ndarray, m: np.ndarray, threshold: float, linkage: str =
         j = int(where[i])
         groups[i] = sorted(groups[i] + groups.pop(j))
         owner[groups[i]] = i
-        center[i] = _unit(m[groups[i]].mean(axis=0)[None, :])[0]
         live = live[live != j]
         best[j] = -2.0
         refresh(i)
@@ -100,7 +160,8 @@ def cluster(episodes: DataFrame, by: list[str], threshold: float = 0.8, linkage:
         u = _unit(m)
         rows = np.argsort(label, kind="stable")
         for own in np.split(rows, np.flatnonzero(np.diff(label[rows])) + 1):
-            total = sum(float((1 / (1 + np.exp(-10 * (u[own[at : at + 1024]] @ u[own].T - 0.5)))).sum()) for at in range(0, len(own), 1024))
+            step = max(1, 2**22 // len(own))
+            total = sum(float((1 / (1 + np.exp(-10 * (u[own[at : at + step]] @ u[own].T - 0.5)))).sum()) for at in range(0, len(own), step))
             itself = float((1 / (1 + np.exp(-10 * ((u[own] ** 2).sum(axis=1) - 0.5)))).sum())
             coherence = (total - itself) / (len(own) * (len(own) - 1)) if len(own) > 1 else 1.0
             if len(own) >= least_size and coherence >= least_coherence:
@@ -109,7 +170,8 @@ def cluster(episodes: DataFrame, by: list[str], threshold: float = 0.8, linkage:
 
     kinds = ", ".join(f"{c} {episodes.schema[c].dataType.simpleString()}" for c in by)
     kind = episodes.schema["id"].dataType.simpleString()
-    return episodes.groupBy(*by).applyInPandas(run, f"{kinds + ', ' if kinds else ''}id {kind}, cluster {kind}, size long, coherence double")
+    needed = [*by, "id", "embedding", *(["when"] if linkage == "average" and "when" in episodes.columns else [])]
+    return episodes.select(*needed).groupBy(*by).applyInPandas(run, f"{kinds + ', ' if kinds else ''}id {kind}, cluster {kind}, size long, coherence double")
 
 
 def centroids(members: DataFrame, key: str = "cluster") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from recollect import catalog
 from recollect.functions import text
-from recollect.operators import cells, cognition, context, cues, graph, nearest
+from recollect.operators import cells, cognition, consolidation, context, cues, graph, nearest
 from recollect.queries.relational import _QUERY
 
 
@@ -165,3 +165,32 @@ def test_baskets_are_dealt_out_by_their_pairs(spark, monkeypatch):
     assert len({k for k in re.findall(r"hashpartitioning\([xy]#\d+L?, [xy]#\d+L?, (\d+)\)", said) if int(k) > 10}) == 1
     fans = {x["id"]: x["fan"] for x in graph.fan(df_edges).collect()}
     assert fans == {i: max(1, sum(1 for p in want if p[0] == i)) for p in want for i in p}
+
+
+def test_clusters_by_centroid_against_a_plain_loop():
+    """Vectors of few values, so that many pairs are as close, equal ones and zeros among them."""
+    r = np.random.default_rng(9)
+    for n, dim, least in ((90, 3, 0.7), (120, 8, 0.4), (60, 2, 0.999999)):
+        ids, m = r.permutation(1000)[:n], r.integers(-1, 2, (n, dim)).astype(float)
+        order = np.argsort(ids)
+        groups = {i: [i] for i in range(n)}
+        unit = lambda x: x / (np.linalg.norm(x) or 1)
+        while len(groups) > 1:
+            c = np.array([unit(np.mean([m[order[x]] for x in g], axis=0)) for g in groups.values()])
+            s, at = np.round(c @ c.T, 12), list(groups)
+            s[np.tril_indices(len(at))] = -2
+            if s.max() < least:
+                break
+            i, j = (at[x] for x in np.unravel_index(s.argmax(), s.shape))
+            groups[i] = sorted(groups[i] + groups.pop(j))
+        want = np.empty(n, int)
+        for g in groups.values():
+            want[order[g]] = order[g[0]]
+        assert (consolidation.agglomerate(ids, m, least) == want).all()
+
+
+def test_clusters_of_many_rows_take_seconds():
+    m = np.random.default_rng(10).normal(size=(12_000, 64)) + np.repeat(np.random.default_rng(11).normal(size=(12, 64)) / 2, 1000, axis=0)
+    began = time.time()
+    labels = consolidation.agglomerate(np.arange(len(m)), m, 0.35)
+    assert time.time() - began < 15 and len(np.unique(labels)) > 1
